@@ -1,0 +1,67 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from tideql.llm import quality, toxicity
+
+SF = "/root/testdata/sf0.1"
+
+
+def held_out(spark, df, label):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    return df.join(labels, "doc_id").where("held_out").select(label, "score", "predicted").toPandas()
+
+
+def test_quality_on_held_out_rows(spark):
+    rows = quality.query(spark, SF)
+    assert rows.columns == ["doc_id", "held_out", "score", "predicted"] and rows.count() == 10_000
+    got = held_out(spark, rows, "quality")
+    assert (got.predicted == got.quality).mean() > 0.98
+    assert got.predicted[got.quality == 1].mean() > 0.99
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows.limit(50).collect())
+
+
+def test_toxicity_on_held_out_rows(spark):
+    got = held_out(spark, toxicity.query(spark, SF), "toxic")
+    assert got.predicted[got.toxic == 1].mean() > 0.8
+    assert got.predicted[got.toxic == 0].mean() < 0.005
+
+
+def test_discriminant_is_the_log_density_difference():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 1, (200, 3)), rng.normal(1, 2, (300, 3))])
+    x[:, 0] = np.abs(x[:, 0]) + 20  # so many words that evidence is whole
+    y = np.repeat([0, 1], [200, 300])
+    m = quality.Discriminant.fit(x, y)
+    z = m.means[1] + ((x - m.centre) / m.scale - m.means[1])
+    want = m.log_odds
+    for k, sign in ((1, 1), (0, -1)):
+        cov = np.linalg.inv(m.factors[k].T @ m.factors[k])
+        d = z - m.means[k]
+        want = want + sign * -0.5 * (np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d) + np.log(np.linalg.det(cov)))
+    assert np.allclose(m.score(x), 1 / (1 + np.exp(-want)), atol=1e-4)
+    assert quality.Discriminant.fit(x[:0], y[:0]).score(x[:2]) == pytest.approx([0.5, 0.5])
+    assert quality.Discriminant.fit(x[:5], y[:5]).score(x[:2]) == pytest.approx([1 / 12, 1 / 12])
+
+
+def test_buckets_are_distinct_whatever_the_pieces(monkeypatch):
+    text = "The Cat sat on\tthe mat. " * 9 + "é"
+    whole = set(toxicity.buckets(text).tolist())
+    raw = b" " + b" ".join(text.encode().translate(toxicity.LOWER).split()) + b" "
+    assert len(whole) == len(toxicity.buckets(text)) <= sum(len({raw[i : i + n] for i in range(len(raw) - n + 1)}) for n in toxicity.SIZES)
+    monkeypatch.setattr(toxicity, "PIECE", 16)
+    assert set(toxicity.buckets(text).tolist()) == whole
+    assert len(toxicity.buckets(None)) == 0
+
+
+@pytest.mark.parametrize("run", [quality.classify, toxicity.classify])
+def test_edges_of_the_input(spark, run):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, None), (None, "z", ""), (3, "", ""), (4, "w " * 50_000, "")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (None, 1, 1), (3, None, None), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    got = run(docs, labels).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted([1, 1, 2, None, 3, 4], key=str)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in got)
+    assert run(docs.limit(0), labels.limit(0)).count() == 0
+    assert run(docs, labels.limit(0)).count() == 6
+    assert quality.accepted(docs, labels).columns == docs.columns

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tideql.llm import simhash
+from tideql.llm import quality, simhash, toxicity
 
 QUERIES = {
+    "op8_quality_classifier": quality.query,
     "op9_simhash_near_dedup": simhash.query,
+    "op10_toxicity": toxicity.query,
 }
 SQL: dict[str, str] = {}
 

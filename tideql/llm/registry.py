@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tideql.llm import quality, simhash, toxicity
+from tideql.llm import decontaminate, quality, rules, simhash, toxicity
 
 QUERIES = {
+    "op5_quality_rules": rules.query,
+    "op4_benchmark_decontamination": decontaminate.query,
     "op8_quality_classifier": quality.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_toxicity": toxicity.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": decontaminate.SQL,
+}
 
 
 def queries():

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tideql.llm import decontaminate, quality, rules, simhash, toxicity
+from tideql.llm import chat, decontaminate, mixing, quality, rules, simhash, tokens, toxicity
 
 QUERIES = {
+    "op2_mixing_sources": mixing.query,
+    "op6_chat_formatting": chat.query,
+    "op7_token_counts": tokens.query,
     "op5_quality_rules": rules.query,
     "op4_benchmark_decontamination": decontaminate.query,
     "op8_quality_classifier": quality.query,
@@ -12,7 +15,9 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
 }
 SQL: dict[str, str] = {
+    "op2_mixing_sources": mixing.SQL,
     "op4_benchmark_decontamination": decontaminate.SQL,
+    "op6_chat_formatting": chat.SQL,
 }
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tideql.llm import chat, decontaminate, mixing, quality, rules, simhash, tokens, toxicity
+from tideql.llm import chat, decontaminate, lm, mixing, quality, rules, simhash, tokens, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": lm.query,
     "op2_mixing_sources": mixing.query,
     "op6_chat_formatting": chat.query,
     "op7_token_counts": tokens.query,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tideql.llm import chat, decontaminate, lm, mixing, quality, rules, simhash, tokens, toxicity
+from tideql.llm import chat, decontaminate, lm, mixing, pii, quality, rules, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm.query,
     "op2_mixing_sources": mixing.query,
+    "op3_pii": pii.query,
     "op6_chat_formatting": chat.query,
     "op7_token_counts": tokens.query,
     "op5_quality_rules": rules.query,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tideql.llm import chat, decontaminate, lm, mixing, pii, quality, rules, simhash, tokens, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_quality_classifier": quality.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_toxicity": toxicity.query,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
     "op2_mixing_sources": mixing.SQL,

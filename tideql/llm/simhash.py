@@ -224,7 +224,7 @@ def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     those whose doc_id is their component's least, one row if that id is repeated.
     Rows with a null doc_id cannot be named by a group and stay."""
     keep = near_duplicates(docs, radius).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__llm_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(keep, F.col("doc_id") == F.col("__llm_id"), "left_semi")
+    named = docs.join(keep, F.col("doc_id") == F.col("__llm_id"), "left_semi").dropDuplicates(["doc_id"])
     return named.union(docs.where(F.col("doc_id").isNull()))
 
 

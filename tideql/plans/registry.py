@@ -17,14 +17,14 @@ DAY = 86400
 AT = SHIP[0] + 1500 * DAY
 
 
-def _flat(rows: DataFrame, *labels: str) -> DataFrame:
-    return rows.select(*(F.col("labels")[n].alias(n) for n in labels), "t", F.round("v", 6).alias("v"))
+def _flat(rows: DataFrame, *labels: str, digits: int = 6) -> DataFrame:
+    return rows.select(*(F.col("labels")[n].alias(n) for n in labels), "t", F.round("v", digits).alias("v"))
 
 
-def _range(source, query, start, end, step, *labels, guard=False):
+def _range(source, query, start, end, step, *labels, guard=False, digits=6):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = source(spark, sf_dir)
-        return _flat(over_range(Samples(accepted(rows) if guard else rows), query, start, end, step), *labels)
+        return _flat(over_range(Samples(accepted(rows) if guard else rows), query, start, end, step), *labels, digits=digits)
 
     return run
 
@@ -66,9 +66,9 @@ def _rate(samples: str, labels: str, start, end, step, window) -> str:
     return f"SELECT {labels}, g AS t, sum(CASE WHEN pv IS NULL THEN 0 WHEN v < pv AND NOT isnan(pv) THEN v ELSE v - pv END) / (max(t) - min(t)) AS v FROM ({pairs}) GROUP BY {labels}, g HAVING count(*) >= 2"
 
 
-def _rounded(sql: str, labels: str) -> str:
+def _rounded(sql: str, labels: str, digits: int = 6) -> str:
     parts = f"{labels}, " if labels else ""
-    return f"SELECT {parts}t, round(v, 6) AS v FROM ({sql})"
+    return f"SELECT {parts}t, round(v, {digits}) AS v FROM ({sql})"
 
 
 _SHIP_LABELS = "l_returnflag, l_linestatus"
@@ -145,7 +145,7 @@ _add("stale_series_empty_tail", _range(adapters.event_gauge, "event_value", FEB
 _add("sum_by_absent_label", _range(adapters.event_gauge_user, "sum(event_value_by_user) by (event_type)", JAN, FEB, 600, "event_type", guard=True), _rounded(f"SELECT event_type, t, sum(v) AS v FROM ({_as_of(_guarded('user'), 'event_type, user_id', JAN, FEB, 600)}) GROUP BY 1, 2", "event_type"))
 _add("rate_counter", _range(adapters.event_counter, "rate(event_value_total[1d])", *_E6H, "event_type", guard=True), _rounded(_rate(_guarded("counter"), "event_type", *_E6H, DAY), "event_type"))
 _add("rate_reset", _range(adapters.event_reset_counter, "rate(event_raw_total[1d])", *_E6H, "event_type", guard=True), _rounded(_rate(_guarded("gauge"), "event_type", *_E6H, DAY), "event_type"))
-_add("rate_wide_window", _range(adapters.event_reset_counter, "rate(event_raw_total[12h])", JAN, FEB, 900, "event_type", guard=True), _rounded(_rate(_guarded("gauge"), "event_type", JAN, FEB, 900, DAY // 2), "event_type"))
+_add("rate_wide_window", _range(adapters.event_reset_counter, "rate(event_raw_total[12h])", JAN, FEB, 900, "event_type", guard=True, digits=9), _rounded(_rate(_guarded("gauge"), "event_type", JAN, FEB, 900, DAY // 2), "event_type", 9))
 _add("irate_alias", _range(adapters.event_counter, "irate(event_value_total[1d])", *_E6H, "event_type", guard=True), _rounded(_rate(_guarded("counter"), "event_type", *_E6H, DAY), "event_type"))
 _add("rate_short_window_gaps", _range(adapters.event_counter, "rate(event_value_total[30m])", JAN, FEB, 3600, "event_type", guard=True), _rounded(_rate(_guarded("counter"), "event_type", JAN, FEB, 3600, 1800), "event_type"))
 _add(
@@ -214,14 +214,14 @@ _TAILS = ["", "m", "k", "M", "G", "Ki", "Mi", "Gi", "e3", "E2", "E", "Zi", "n",
 def _quantity(s, d):
     tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("p_partkey") % 15 + 1).cast("int"))
     rows = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.col("p_size").cast("string"), tail).alias("text"))
-    return rows.select("p_partkey", "text", F.round(quantity(F.col("text")), 6).alias("value"))
+    return rows.select("p_partkey", "text", quantity(F.col("text")).alias("value"))
 
 
 _FACTORS = " ".join(f"WHEN {i} THEN {SUFFIXES[t]!r}::DOUBLE" for i, t in enumerate(_TAILS) if t in SUFFIXES)
 _add(
     "quantity_parse",
     _quantity,
-    f"SELECT p_partkey, p_size::VARCHAR || [{', '.join(repr(t) for t in _TAILS)}][p_partkey % 15 + 1] AS text, round(p_size * CASE p_partkey % 15 {_FACTORS} WHEN 8 THEN 1000.0::DOUBLE WHEN 9 THEN 100.0::DOUBLE WHEN 14 THEN 1.0::DOUBLE END, 6) AS value FROM part",
+    f"SELECT p_partkey, p_size::VARCHAR || [{', '.join(repr(t) for t in _TAILS)}][p_partkey % 15 + 1] AS text, p_size::DOUBLE * CASE p_partkey % 15 {_FACTORS} WHEN 8 THEN 1000.0::DOUBLE WHEN 9 THEN 100.0::DOUBLE WHEN 14 THEN 1.0::DOUBLE END AS value FROM part",
 )
 _add(
     "unit_for",

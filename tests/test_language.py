@@ -1,0 +1,36 @@
+import pytest
+
+from tideql.plans.language import BadQuery, Binary, Matcher, Number, Rate, Selector, Sum, parse
+
+REJECTED = [
+    "-x", ".5", "# c", "x > 1", "x % 2", "x ^ 2", "1e9", "1.2.3", "avg(x)", "count(x)", "x offset 5m", "x[5m]", "x == 1", '{a="b",}',
+    "sum by (a) (x) by (b)", "rate(sum(x)[1m])", "rate((x)[1m])", "rate(x)", "rate(x[5m:1m])", "rate(x[5w])", '{a="b', "{a='b\"}", '{a=~"("}',
+    '{a=~"(?=x)"}', '{a=~"(x)\\\\1"}', '{a=~"a)|(?:b"}', "", "x +", "(x", "sum()", "sum x", "{a}", '{a="b" c="d"}', "x y", "rate(x[m])", "sum(x) by a", "é", '{"a"="b"}',
+]
+
+
+@pytest.mark.parametrize("query", REJECTED)
+def test_rejected(query):
+    with pytest.raises(BadQuery):
+        parse(query)
+
+
+def test_accepted_forms():
+    x = Selector("x")
+    assert parse("x") == x and parse("Inf") == Selector("Inf") and parse("{}") == parse("{ }") == Selector()
+    assert parse("by") == Selector("by") and parse("a:b") == Selector("a:b")
+    assert parse('{a=="b"}') == parse('{a="b"}') == Selector(None, (Matcher("a", "=", "b"),))
+    assert parse('foo{__name__="bar"}') == Selector("bar") and parse('{__name__="a",__name__="b"}') == Selector("b")
+    assert parse('{__name__!="a"}') == Selector(None, (Matcher("__name__", "!=", "a"),))
+    assert parse("sum by (a,) (x)") == parse("sum(x) by (a)") == Sum(x, ("a",)) and parse("sum(x) by ()") == parse("sum(x)") == Sum(x)
+    assert parse("rate(x[1.5m])") == Rate(x, 90) and parse("irate(x[1 m])") == Rate(x, 60) and parse("rate(sum[1m])") == Rate(Selector("sum"), 60)
+    assert parse("rate({a='b'}[2d])") == Rate(Selector(None, (Matcher("a", "=", "b"),)), 172800) and parse("rate(x[0s])").seconds == 0
+    assert parse(r"""{a="\n\t\"\'\\\d"}""").matchers[0].value == "\n\t\"'\\\\d"[:5] + "\\d"
+    assert parse(r'{a=~"^2\\d*"}').matchers[0].value == r"^2\d*"
+
+
+def test_precedence_and_association():
+    n = [Number(float(i)) for i in range(5)]
+    assert parse("1 - 2 - 3") == Binary("-", Binary("-", n[1], n[2]), n[3])
+    assert parse("1 + 2 * 3 / 4") == Binary("+", n[1], Binary("/", Binary("*", n[2], n[3]), n[4]))
+    assert parse("(1 + 2) * 3") == Binary("*", Binary("+", n[1], n[2]), n[3])

@@ -21,6 +21,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_mixing_sources": mixing.SQL,
     "op4_benchmark_decontamination": decontaminate.SQL,
+    "op5_quality_rules": rules.SQL,
     "op6_chat_formatting": chat.SQL,
 }
 

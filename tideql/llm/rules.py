@@ -99,4 +99,26 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def query(spark, sf_dir):
     """Rule measures and verdicts of all documents, by source."""
-    return judged(table(spark, sf_dir, "documents"))
+    return judged(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
+
+
+SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+part AS (
+  SELECT r, doc_id, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM doc),
+gram AS (SELECT r, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM part)),
+twin AS (SELECT r, p FROM gram QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS p FROM twin) GROUP BY r),
+measure AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM part LEFT JOIN covered USING (r)),
+verdict AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measure),
+host AS (SELECT source, count(*) AS n, sum(base_failed::INTEGER) AS failed FROM verdict GROUP BY source),
+moment AS (SELECT sum(failed) / sum(n) AS mean, var_pop(failed / n) AS v, avg(1.0 / n) AS inverse FROM host),
+spread AS (SELECT mean, greatest(v - mean * (1 - mean) * inverse, 0) AS s FROM moment),
+prior AS (SELECT mean, CASE WHEN s > 0 THEN least(greatest(mean * (1 - mean) / s - 1, 1), 1000) ELSE 1000 END AS weight FROM spread),
+rate AS (SELECT source, (failed + mean * weight) / (n + weight) AS rate FROM host, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS host_rate, NOT base_failed AND rate <= 0.5 AS kept
+FROM verdict JOIN rate ON verdict.source IS NOT DISTINCT FROM rate.source
+"""

@@ -16,6 +16,12 @@ def label_key(labels: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("\x01"), e["value"], F.lit("\x02"))), "")
 
 
+def labels_of(key: Column) -> Column:
+    """The label map of a canonical key: keys are texts, so they can be hashed and grouped
+    by where maps cannot. No label holds the two control characters that part them."""
+    return F.map_filter(F.str_to_map(key, F.lit("\x02"), F.lit("\x01")), lambda k, v: v.isNotNull())
+
+
 def label_map(**values: Column | str) -> Column:
     """A label map without its null and empty values."""
     pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v) if isinstance(v, str) else v.cast("string"))]
@@ -24,11 +30,6 @@ def label_map(**values: Column | str) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull() & (v != ""))
 
 
-def kept_labels(labels: Column, names: tuple[str, ...]) -> Column:
-    """The part of a label map under some names; absent labels stay absent."""
-    return F.map_filter(labels, lambda k, v: k.isin(*names)) if names else F.create_map().cast("map<string,string>")
-
-
 def matched(selector: Selector, metric: str = "metric", labels: str = "labels") -> Column:
     """The predicate of a selector. An absent label matches as the empty text; regular
     expressions hold for the whole value, and a dot stands for all but a line feed."""

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideql.functions.labels import kept_labels, label_key
+from tideql.functions.labels import label_key, label_map, labels_of
 from tideql.functions.numbers import ieee_divide
 
 LOOKBACK = 300
@@ -91,14 +91,16 @@ def rate(samples: DataFrame, grid: Grid, seconds: int) -> DataFrame:
 
 def _rate_near(rows: DataFrame, grid: Grid, seconds: int, size: int) -> DataFrame:
     """Each sample goes to all points that see it: one aggregate."""
-    each = rows.select("labels", "lkey", "skey", "t", "pt", "gain", F.explode(_points(F.col("t"), F.col("t") + seconds - 1, grid, size)).alias("i"))
+    each = rows.select("skey", "t", "pt", "gain", F.explode(_points(F.col("t"), F.col("t") + seconds - 1, grid, size)).alias("i"))
     at = grid.start + F.col("i") * grid.step
-    got = each.groupBy("skey", "i").agg(
-        F.first("labels").alias("labels"), F.first("lkey").alias("lkey"), F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"), F.sum(F.when(F.col("pt") > at - seconds, F.col("gain"))).alias("gain")
-    )
-    return got.where((F.col("n") >= 2) & (F.col("span") > 0)).select(
-        "labels", "lkey", "skey", (grid.start + F.col("i") * grid.step).cast("bigint").alias("t"), F.try_divide(F.col("gain"), F.col("span").cast("double")).alias("v")
-    )
+    got = each.groupBy("skey", "i").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"), F.sum(F.when(F.col("pt") > at - seconds, F.col("gain"))).alias("gain"))
+    return _labelled(got.where((F.col("n") >= 2) & (F.col("span") > 0)), F.try_divide(F.col("gain"), F.col("span").cast("double")), grid)
+
+
+def _labelled(rows: DataFrame, value: Column, grid: Grid) -> DataFrame:
+    """(labels, lkey, skey, t, v) of rows by series key and grid point: texts group by hash, label maps would not."""
+    rows = rows.select("skey", "i", value.alias("v")).withColumn("lkey", F.expr("substring(skey, instr(skey, '\x02') + 1)"))
+    return rows.select(labels_of(F.col("lkey")).alias("labels"), "lkey", "skey", (grid.start + F.col("i") * grid.step).cast("bigint").alias("t"), "v")
 
 
 def _rate_wide(rows: DataFrame, grid: Grid, seconds: int, size: int) -> DataFrame:
@@ -109,25 +111,25 @@ def _rate_wide(rows: DataFrame, grid: Grid, seconds: int, size: int) -> DataFram
     finite = F.col("gain").isNotNull() & ~F.isnan("gain") & (F.abs("gain") < float("inf"))
     sums = {"total": F.when(finite, F.col("gain")).otherwise(0.0), "nans": F.isnan("gain").cast("int"), "ups": (F.col("gain") == float("inf")).cast("int"), "downs": (F.col("gain") == -float("inf")).cast("int")}
     next_t = F.lead("t").over(_in_order())
-    rows = rows.select("labels", "lkey", "skey", "metric", "chunk", "t", "pt", next_t.alias("nt"), *(F.sum(F.coalesce(x, F.lit(0))).over(w).alias(k) for k, x in sums.items()))
-    state = F.struct("t", *sums)
-    last = rows.select("labels", "lkey", "skey", F.lit(True).alias("late"), state.alias("s"), F.explode(_points(F.col("t"), F.least(F.coalesce(F.col("nt") - 1, F.lit(grid.end)), F.col("t") + seconds - 1), grid, size)).alias("i"))
-    first = rows.select("labels", "lkey", "skey", F.lit(False).alias("late"), state.alias("s"), F.explode(_points(F.greatest(F.col("t"), F.coalesce(F.col("pt") + seconds, F.col("t"))), F.col("t") + seconds - 1, grid, size)).alias("i"))
-    got = last.union(first).groupBy("skey", "i").agg(
-        F.first("labels").alias("labels"), F.first("lkey").alias("lkey"), F.max(F.when(F.col("late"), F.col("s"))).alias("b"), F.max(F.when(~F.col("late"), F.col("s"))).alias("a")
-    ).where(F.col("b.t") > F.col("a.t"))
-    more = {k: F.col(f"b.{k}") - F.col(f"a.{k}") for k in sums}
+    rows = rows.select("skey", "chunk", "t", "pt", next_t.alias("nt"), *(F.sum(F.coalesce(x, F.lit(0))).over(w).alias(k) for k, x in sums.items()))
+    last = rows.select("skey", F.lit(True).alias("late"), "t", *sums, F.explode(_points(F.col("t"), F.least(F.coalesce(F.col("nt") - 1, F.lit(grid.end)), F.col("t") + seconds - 1), grid, size)).alias("i"))
+    first = rows.select("skey", F.lit(False).alias("late"), "t", *sums, F.explode(_points(F.greatest(F.col("t"), F.coalesce(F.col("pt") + seconds, F.col("t"))), F.col("t") + seconds - 1, grid, size)).alias("i"))
+    # of each kind a point and series have one row at most
+    ends = [F.max(F.when(F.col("late") == F.lit(late), F.col(k))).alias(f"{k}_{n}") for k in ("t", *sums) for n, late in (("a", False), ("b", True))]
+    got = last.union(first).groupBy("skey", "i").agg(*ends).where(F.col("t_b") > F.col("t_a"))
+    more = {k: F.col(f"{k}_b") - F.col(f"{k}_a") for k in ("t", *sums)}
     up, down = more["ups"] > 0, more["downs"] > 0
     gain = F.when((more["nans"] > 0) | (up & down), F.lit(float("nan"))).when(up, F.lit(float("inf"))).when(down, F.lit(-float("inf"))).otherwise(more["total"])
-    return got.select("labels", "lkey", "skey", (grid.start + F.col("i") * grid.step).cast("bigint").alias("t"), F.try_divide(gain, (F.col("b.t") - F.col("a.t")).cast("double")).alias("v"))
+    return _labelled(got, F.try_divide(gain, more["t"].cast("double")), grid)
 
 
 def summed(vector: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """One row a point and group of the labels named; labels that are absent stay out of the
     group's. Nothing in, nothing out. Added up before the shuffle."""
-    rows = vector.select("t", "v", kept_labels(F.col("labels"), by).alias("labels")) if by else vector.select("t", "v", kept_labels(F.col("labels"), ()).alias("labels"))
-    rows = rows.withColumn("lkey", label_key(F.col("labels")))
-    return rows.groupBy("t", "lkey").agg(F.first("labels").alias("labels"), F.sum("v").alias("v")).select("labels", "lkey", F.col("lkey").alias("skey"), "t", "v")
+    groups = [F.col("labels")[name].alias(f"by_{i}") for i, name in enumerate(by)]
+    rows = vector.groupBy("t", *groups).agg(F.sum("v").alias("v"))
+    rows = rows.select("t", "v", label_map(**{name: F.col(f"by_{i}") for i, name in enumerate(by)}).alias("labels")).withColumn("lkey", label_key(F.col("labels")))
+    return rows.select("labels", "lkey", F.col("lkey").alias("skey"), "t", "v")
 
 
 def applied(op: str, a: Column, b: Column) -> Column:

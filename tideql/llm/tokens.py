@@ -22,8 +22,9 @@ from tideql.llm.common import fields, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: An unknown character costs the least score of the vocabulary less this much.
 UNKNOWN_PENALTY = 10.0
-#: Distinct words whose counts a task remembers at once; longer words are not remembered.
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
+#: Distinct words whose counts a worker remembers in each of two generations; longer words
+#: are not remembered.
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
 SPACE = "▁"
 
 
@@ -46,30 +47,41 @@ class TokenCounter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
 
     def word(self, word: str) -> int:
         """Tokens of one word, the mark of its beginning included."""
         text = SPACE + word
         n = len(text)
         best, count = [0.0] * (n + 1), [0] * (n + 1)
-        ends: dict[int, list] = {}
-        for end, match in self.automaton.iter(text):
-            ends.setdefault(end, []).append(match)
-        for i in range(n):
-            top, tokens, single = None, 0, False
-            for length, score in sorted(ends.get(i, ()), reverse=True):
-                single = single or length == 1
-                got = best[i + 1 - length] + score
-                if top is None or got > top:
-                    top, tokens = got, count[i + 1 - length] + 1
+        at, top, tokens, single = 0, None, 0, False
+        # matches come by their ends, and of one end the longest first
+        for end, (length, score) in self.automaton.iter(text):
+            while at < end:
+                if not single:
+                    top, tokens = self.or_unknown(text[at], best[at], count[at], top, tokens)
+                at += 1
+                best[at], count[at] = top, tokens
+                top, single = None, False
+            got = best[end + 1 - length] + score
+            if top is None or got > top:
+                top, tokens = got, count[end + 1 - length] + 1
+            if length == 1:
+                single = True
+        while at < n:
             if not single:
-                got = best[i] + self.unknown
-                if top is None or got > top:
-                    top, tokens = got, count[i] + len(text[i].encode("utf-8", "surrogatepass"))
-            best[i + 1], count[i + 1] = top, tokens
+                top, tokens = self.or_unknown(text[at], best[at], count[at], top, tokens)
+            at += 1
+            best[at], count[at] = top, tokens
+            top, single = None, False
         return count[n]
 
+    def or_unknown(self, char: str, before: float, n: int, top: float | None, tokens: int):
+        """The better of what ends here and an unknown character, counted as its bytes."""
+        got = before + self.unknown
+        return (got, n + len(char.encode("utf-8", "surrogatepass"))) if top is None or got > top else (top, tokens)
+
     def text(self, text: str | None) -> tuple[int, int]:
         """Words and tokens of a text."""
         words = Counter((text or "").encode("utf-8", "surrogatepass").split())
@@ -77,10 +89,13 @@ class TokenCounter:
         for word, times in words.items():
             got = known.get(word)
             if got is None:
-                got = self.word(word.decode("utf-8", "surrogatepass"))
+                got = self.older.get(word)
+                if got is None:
+                    got = self.word(word.decode("utf-8", "surrogatepass"))
                 if len(word) <= LONGEST_REMEMBERED:
                     if len(known) >= REMEMBERED:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[word] = got
             n += times
             tokens += got * times

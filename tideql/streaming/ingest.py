@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tideql.functions.shipping import ship
+
 
 class NewestOnly(StatefulProcessor):
     """Lets a series' sample through if it is newer than all before it. State: the newest
@@ -40,6 +42,7 @@ class NewestOnly(StatefulProcessor):
 def guarded(stream: DataFrame, retention: int | None = None) -> DataFrame:
     """A stream of (metric, lkey, labels, t, v, arrival) less repeats and late samples: within
     a micro-batch by arrival, across them by state. labels go as JSON through Python."""
+    ship(stream.sparkSession)
     flat = stream.select("metric", "lkey", F.to_json("labels").alias("labels"), "t", "v", "arrival")
     kept = flat.groupBy("metric", "lkey").transformWithStateInPandas(
         NewestOnly(retention), "metric string, lkey string, labels string, t bigint, v double, arrival bigint", "Append", "None" if retention is None else "ProcessingTime"

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideql.functions.shipping import ship
 from tideql.llm import tagger
 from tideql.llm.common import fields, table
 from tideql.llm.tagger import KINDS, luhn
@@ -110,6 +111,7 @@ def marked(docs: DataFrame) -> DataFrame:
     Counts and base_sha256 are of the pattern matches; spans lists all spans, those of the
     tagger added. Null texts count as empty and have no spans. Rows with a null doc_id and
     repeated rows each give a row. An empty table gives an empty result."""
+    ship(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(tagger.trained())  # a fixed size
 
     def run(batches):
@@ -138,6 +140,7 @@ def masked(text: str, spans: list[Span]) -> str:
 def redacted(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with personal data replaced by the names of its kinds
     and n_chars, where there is one, the new length. Null texts stay null."""
+    ship(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(tagger.trained())
     names = docs.columns
 

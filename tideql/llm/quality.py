@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideql.functions.shipping import ship
 from tideql.llm.common import fields, remainder, table, training_rows
 
 #: Labelled documents to learn from at most.
@@ -123,6 +124,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows
             x = pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(y, pa.int32()), x], ["doc_id", "y", "x"])
 
+    ship(docs.sparkSession)
     rows = training_rows(docs, labels, label, max_rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y")
     rows = rows.mapInArrow(measure, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), N_STATISTICS)
@@ -132,6 +134,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows
 def scored(docs: DataFrame, model: Discriminant) -> DataFrame:
     """All rows and columns of docs and the score, in column __llm_score."""
     names = docs.columns
+    ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideql.functions.shipping import ship
 from tideql.llm.common import LOWER, fields, partitions, written
 from tideql.llm.components import components
 
@@ -59,6 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
@@ -121,6 +123,7 @@ def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame
     """Edges (a, b) whose components are those of all links between the distinct
     longs in column fp. Null fingerprints have no links."""
     spark = fps.sparkSession
+    ship(spark)
 
     def count(batches):
         for batch in batches:

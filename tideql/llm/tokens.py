@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideql.functions.shipping import ship
 from tideql.llm.common import fields, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -114,6 +115,7 @@ def counted(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     its beginning. Null and empty texts have no tokens. Rows with a null doc_id and repeated
     rows each give a row. An empty table gives an empty result. The vocabulary, of fixed
     size, is the only thing broadcast."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(pieces))
     digest = hashlib.sha256(repr(pieces).encode()).hexdigest()
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideql.functions.shipping import ship
 from tideql.llm.common import LOWER, fields, remainder, table, training_rows, written
 
 #: Labelled documents to learn from at most.
@@ -107,6 +108,7 @@ def fitted(hits: list[np.ndarray], y: np.ndarray, scale: np.ndarray):
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Linear:
     """Learns from at most `max_rows` labelled documents, see training_rows. The driver
     gets TASKS pairs of count arrays and the kept features of the sample's rows."""
+    ship(docs.sparkSession)
     rows = training_rows(docs, labels, label, max_rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").dropDuplicates(["doc_id"])
     sample = written(rows, "labelled").coalesce(TASKS)
 

@@ -26,15 +26,15 @@ from tideql.llm import attention
 from tideql.llm.common import LOWER, fields, remainder, table, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Words whose counts are broadcast: those of at least one in so many training tokens.
-#: So many words can reach that at most; the counts of all others meet by a join.
+#: Words whose counts are broadcast, at most: those with at least some power of two of
+#: training tokens, the least that so many words reach. All other counts meet by a join.
 HOT = 200_000
 #: One in so many training documents, by hash, trains the attention; counts use all.
-TRAIN_SHARE = 8
+TRAIN_SHARE = 6
 #: Rounds of training on all executors at once, and tasks of a round at most.
 ROUNDS, TASKS = 3, 16
 #: Characters of a word that its lead subword is taken from.
-LEAD_CHARS = 32
+LEAD_CHARS = 16
 #: The end of a text as a token: no word holds a space.
 END = b" "
 #: Distinct words that a task counts or remembers at once.
@@ -203,8 +203,9 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     leads = known.where(F.col("word") != F.lit(END)).groupBy("lead").agg(F.sum("c").alias("n"), F.count("*").alias("words")).collect()
     classes = Classes([(r["lead"], r["n"], r["words"]) for r in leads], ends["c"] if ends else 0)
     n, v = int(classes.tokens.sum()), int(classes.words.sum())
-    least = max(2, -(-n // HOT))
+    reach = known.agg(*(F.count_if(F.col("c") >= (1 << k)).alias(f"k{k}") for k in range(1, 50))).first()
     # at most HOT words have so many tokens
+    least = next((1 << k for k in range(1, 50) if reach[f"k{k}"] <= HOT), 1 << 50)
     hot = sorted((bytes(r["word"]), r["c"]) for r in known.where(F.col("c") >= least).select("word", "c").collect())
     shared = spark.sparkContext.broadcast((raw, classes, [w for w, _ in hot]))
     key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)}"

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideql.functions.shipping import ship
 from tideql.llm import attention
 from tideql.llm.common import LOWER, fields, remainder, table, written
 
@@ -193,6 +194,7 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     token is unknown, and the model predicts its untrained prior. An empty table gives an
     empty result."""
     spark = docs.sparkSession
+    ship(spark)
     with open(vocabulary, "rb") as f:
         raw = f.read()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder("doc_id", 7) == 2).alias("held_out"))

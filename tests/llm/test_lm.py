@@ -98,3 +98,27 @@ def test_edges_of_the_input(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     only = lm.scored(spark.createDataFrame([(held, "some words")], "doc_id long, text string")).collect()
     assert [tuple(r)[:6] for r in only] == [(held, True, 3, 0, 0, 0.0)] and only[0]["score"] < 0
+
+
+def test_all_subwords_of_a_word_are_read():
+    with open(lm.VOCABULARY, "rb") as f:
+        raw = f.read()
+    same = "antidisestablishmentarian"
+    words = [same + "ism", same + "s", "x" * 5000 + "yz", "東京都" * 300, "plain"]
+    leads = sorted({lm.lead_of(raw)(w.encode()) for w in words})
+    for hot in ([], [w.encode() for w in words]):
+        reader = lm.Reader(raw, lm.Classes([(x, 1, 1) for x in leads], 1), hot)
+        number, cls, cold, ids, starts = reader(" ".join(words).encode())
+        assert len(number) == len(cls) == starts.sum() == len(words) + 1 and len(cold) == (1 if hot else len(words) + 1)
+        assert lm._encoding(lm.hashlib.sha256(raw).hexdigest()[:16], raw).decode(ids[:-1].tolist()) == " " + " ".join(words)
+    before = [reader(f"{w} next".encode())[3].tolist() for w in words[:2]]
+    assert before[0] != before[1]
+    model = attention.initial(np.full(attention.CLASSES, 1 / attention.CLASSES))
+    model["u"] *= 20
+    got = []
+    for w in words[:2]:  # alike in their first 16 characters
+        _, cls, _, ids, starts = reader(f"{w} plain".encode())
+        w, y, mask = attention.windows(ids, cls, starts)
+        got.append(attention.Scorer(model)(w, y, mask)[mask])
+    assert got[0][0] == got[1][0] and got[0][1] != got[1][1]
+    assert attention.CLASSES >= 255

@@ -1,18 +1,21 @@
 """A causal self-attention model over subword ids, in numpy.
 
-Each position of a text is the lead subword id of a word, brought to one of CLASSES
-classes. Text is cut into windows of CONTEXT + BLOCK positions that overlap by CONTEXT;
-only the last BLOCK positions of a window are predicted, so every token is scored once
-and sees at least CONTEXT positions before it (texts begin behind that many start marks).
+Each position of a text is a subword id with a vector of its own; what is predicted is
+one of CLASSES classes, where a word begins. Text is cut into windows of CONTEXT + BLOCK
+positions that overlap by CONTEXT; only the last BLOCK positions of a window are
+predicted, so every word is scored once and sees at least CONTEXT positions before it
+(texts begin behind that many start marks).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Classes of tokens; the id after the last is the start mark.
-CLASSES, START = 127, 127
-CONTEXT, BLOCK = 16, 16
+#: Classes that are predicted.
+CLASSES = 255
+#: Subword ids that have a vector; the id after the last is the start mark.
+IDS, START = 65_535, 65_535
+CONTEXT, BLOCK = 40, 24
 WIDTH, DIM = CONTEXT + BLOCK, 16
 #: Windows in one forward pass, in one training step, and kept for training at once.
 CHUNK, BATCH, HELD = 256, 128, 1 << 16
@@ -22,7 +25,7 @@ RATE, DECAY, LEAST_STEPS, MOST_EPOCHS = 0.01, 0.01, 150, 3
 SAFE = 60
 
 _MASK = np.where(np.arange(WIDTH)[None] <= np.arange(CONTEXT, WIDTH)[:, None], 0.0, -1e9).astype(np.float32)
-SHAPES = {"e": (CLASSES + 1, DIM), "p": (WIDTH, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "u": (DIM, CLASSES), "b": (CLASSES,)}
+SHAPES = {"e": (IDS + 1, DIM), "p": (WIDTH, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "u": (DIM, CLASSES), "b": (CLASSES,)}
 
 
 def initial(prior: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
@@ -47,17 +50,22 @@ def unpacked(raw: bytes) -> dict[str, np.ndarray]:
     return model
 
 
-def windows(tokens: np.ndarray):
-    """(windows, targets, mask) of one text's classes: uint8 (n, WIDTH), (n, BLOCK), bool (n, BLOCK)."""
+def windows(tokens: np.ndarray, classes: np.ndarray | None = None, starts: np.ndarray | None = None):
+    """(windows, targets, mask) of one text's ids: uint16 (n, WIDTH), uint8 (n, BLOCK), bool (n, BLOCK).
+
+    starts: whether a word begins at an id, classes: the words' classes, one for each start;
+    without them every id is a word and its own class."""
     n = len(tokens)
     blocks = -(-n // BLOCK)
-    inputs = np.full(WIDTH + blocks * BLOCK, START, np.uint8)
+    inputs = np.full(WIDTH + blocks * BLOCK, START, np.uint16)
     inputs[WIDTH : WIDTH + n - 1] = tokens[:-1]
+    mask = np.zeros(blocks * BLOCK, bool)
+    mask[:n] = True if starts is None else starts
     target = np.zeros(blocks * BLOCK, np.uint8)
-    target[:n] = tokens
-    view = np.lib.stride_tricks.sliding_window_view(inputs[CONTEXT - 1 :], WIDTH)[::BLOCK][:blocks]
+    target[mask] = tokens if classes is None else classes
+    view = np.lib.stride_tricks.sliding_window_view(inputs[BLOCK - 1 :], WIDTH)[::BLOCK][:blocks]
     # position WIDTH - 1 + t of the inputs predicts token t: window i, place CONTEXT + r predicts token i * BLOCK + r
-    return view, target.reshape(blocks, BLOCK), (np.arange(blocks * BLOCK) < n).reshape(blocks, BLOCK)
+    return view, target.reshape(blocks, BLOCK), mask.reshape(blocks, BLOCK)
 
 
 class Scorer:
@@ -72,10 +80,13 @@ class Scorer:
         self.v, self.vp = model["e"] @ out, model["p"] @ out
         self.u, self.b = model["u"], model["b"]
 
-    def __call__(self, ids: np.ndarray, target: np.ndarray) -> np.ndarray:
-        got = np.empty(target.shape, np.float32)
+    def __call__(self, ids: np.ndarray, target: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+        """Places that the mask leaves out are 0."""
+        mask = np.ones(target.shape, bool) if mask is None else mask
+        got = np.zeros(target.shape, np.float32)
         for i in range(0, len(ids), CHUNK):
-            w, y = ids[i : i + CHUNK], target[i : i + CHUNK]
+            w, own = ids[i : i + CHUNK], mask[i : i + CHUNK]
+            y = target[i : i + CHUNK][own]
             late = w[:, CONTEXT:]
             score = (self.q[late] + self.qp) @ (self.k[w] + self.kp).transpose(0, 2, 1)
             score += _MASK
@@ -86,13 +97,13 @@ class Scorer:
             seen /= score.sum(axis=2, keepdims=True)
             seen += self.x[late]
             seen += self.xp
-            z = seen.reshape(-1, DIM) @ self.u
+            z = seen[own] @ self.u
             z += self.b
-            if np.abs(z).max() > SAFE:
+            if z.size and np.abs(z).max() > SAFE:
                 z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), y.ravel()]
+            fit = z[np.arange(len(z)), y]
             np.exp(z, out=z)
-            got[i : i + CHUNK] = (own - np.log(z.sum(axis=1))).reshape(y.shape)
+            got[i : i + CHUNK][own] = fit - np.log(z.sum(axis=1))
         return got.astype(np.float64) / np.log(10)
 
 
@@ -106,18 +117,20 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, mas
     a = np.exp(a - a.max(axis=2, keepdims=True))
     a /= a.sum(axis=2, keepdims=True)
     o = a @ v
-    h = (late + o @ m["o"]).reshape(-1, DIM)
+    own = np.flatnonzero(mask)
+    h = (late + o @ m["o"]).reshape(-1, DIM)[own]
     z = h @ m["u"] + m["b"]
     z -= z.max(axis=1, keepdims=True)
     e = np.exp(z)
     total = e.sum(axis=1, keepdims=True)
-    rows, y, w = np.arange(len(z)), target.ravel(), (mask.ravel() / n).astype(np.float32)
-    loss = float(((np.log(total[:, 0]) - z[rows, y]) * w).sum())
+    rows, y = np.arange(len(z)), target.ravel()[own]
+    loss = float((np.log(total[:, 0]) - z[rows, y]).sum() / n)
     dz = e / total
     dz[rows, y] -= 1
-    dz *= w[:, None]
+    dz *= np.float32(1 / n)
     g = {"u": h.T @ dz, "b": dz.sum(axis=0)}
-    dh = (dz @ m["u"].T).reshape(late.shape)
+    dh = np.zeros_like(late)
+    dh.reshape(-1, DIM)[own] = dz @ m["u"].T
     g["o"] = o.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
     do = dh @ m["o"].T
     da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
@@ -129,8 +142,11 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, mas
     dx = dk @ m["k"].T + dv @ m["v"].T
     dx[:, CONTEXT:] += dh + dq @ m["q"].T
     g["p"] = dx.sum(axis=0)
-    at, dx = ids.ravel(), dx.reshape(-1, DIM)
-    g["e"] = np.stack([np.bincount(at, dx[:, j], CLASSES + 1) for j in range(DIM)], axis=1).astype(dx.dtype)
+    dx = dx.reshape(-1, DIM)
+    seen, at = np.unique(ids, return_inverse=True)
+    at = at.ravel()
+    g["e"] = np.zeros(SHAPES["e"], dx.dtype)
+    g["e"][seen] = np.stack([np.bincount(at, dx[:, j], len(seen)) for j in range(DIM)], axis=1)
     return loss, g
 
 
@@ -143,10 +159,11 @@ class Trainer:
         self.v = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
         self.steps, self.seen, self.parts, self.n = 0, 0, [], 0
 
-    def add(self, tokens: np.ndarray) -> None:
-        part = windows(tokens)
-        self.parts.append(tuple(np.ascontiguousarray(x) for x in part))
-        self.n += len(part[0])
+    def add(self, tokens: np.ndarray, classes: np.ndarray | None = None, starts: np.ndarray | None = None) -> None:
+        part = windows(tokens, classes, starts)
+        own = part[2].any(axis=1)
+        self.parts.append(tuple(x[own] for x in part))
+        self.n += int(own.sum())
         if self.n >= HELD:
             self.train()
 
@@ -167,8 +184,10 @@ class Trainer:
         self.steps += 1
         rate = RATE * min(1.0, self.steps / 20)
         for k in SHAPES:
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g[k] ** 2
-            change = (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.99**self.steps)) + 1e-6)
-            self.model[k] = (self.model[k] * np.float32(1 if k in "be" else 1 - rate * DECAY) - rate * change).astype(np.float32)
+            # of the ids' vectors only those seen in this step move
+            at = np.unique(ids) if k == "e" else slice(None)
+            m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * g[k][at]
+            v = self.v[k][at] = 0.99 * self.v[k][at] + 0.01 * g[k][at] ** 2
+            change = (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-6)
+            self.model[k][at] = self.model[k][at] * np.float32(1 if k in "be" else 1 - rate * DECAY) - rate * change
         return loss

@@ -1,11 +1,11 @@
 """LM scoring: word counts of the whole corpus, and self-attention over subword ids.
 
-A token's probability is that of its class given the text before it, from the attention
-model, times that of the token within its class, (c + 1) / (N + V + 1) over the class's
-training tokens. A class is a lead subword id of a public tokenizer; rarer ids share one
-class and the end of a text is one of its own. The last slot of a class stands for words
-that training has not seen. So the probabilities of all known tokens and of one unknown
-word a class add up to one after any text.
+A token's probability is that of its class given all subword ids of the text before it,
+from the attention model, times that of the token within its class, (c + 1) / (N + V + 1)
+over the class's training tokens. A class is the first subword id of a word, by a public
+tokenizer; rarer first ids share one class and the end of a text is one of its own. The
+last slot of a class stands for words that training has not seen. So the probabilities of
+all known tokens and of one unknown word a class add up to one after any text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import sys
 from collections import Counter
 from itertools import repeat
 
@@ -34,14 +35,18 @@ HOT = 200_000
 TRAIN_SHARE = 6
 #: Rounds of training on all executors at once, and tasks of a round at most.
 ROUNDS, TASKS = 3, 16
-#: Characters of a word that its lead subword is taken from.
-LEAD_CHARS = 16
+#: Characters of a word that the tokenizer gets at once: its time is not linear in their number.
+STRETCH = 1024
+#: Words up to so many bytes are remembered.
+SHORT = 64
 #: The end of a text as a token: no word holds a space.
 END = b" "
 #: Distinct words that a task counts or remembers at once.
 HELD = 300_000
 REST_CLASS, END_CLASS = attention.CLASSES - 2, attention.CLASSES - 1
 OTHER_LEAD = -1
+#: What stands for the end of a text, and for a word without ids, among the positions.
+END_ID, OTHER_ID = attention.IDS - 1, attention.IDS - 2
 
 
 @functools.lru_cache(2)
@@ -53,19 +58,31 @@ def _encoding(digest: str, raw: bytes):
     return tiktoken.Encoding(f"lead-{digest}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def lead_of(raw: bytes):
-    """A function from a word's bytes to its lead subword id, remembering bounded numbers of words."""
+def pieces_of(raw: bytes):
+    """A function from a word's bytes to all its subword ids."""
     encode = _encoding(hashlib.sha256(raw).hexdigest()[:16], raw).encode_ordinary
+
+    def pieces(word: bytes) -> list[int]:
+        text = " " + word.decode("utf-8", "replace")
+        if len(text) <= STRETCH:
+            return encode(text)
+        return [x for at in range(0, len(text), STRETCH) for x in encode(text[at : at + STRETCH])]
+
+    return pieces
+
+
+def lead_of(raw: bytes):
+    """A function from a word's bytes to its first subword id, remembering bounded numbers of words."""
+    pieces = pieces_of(raw)
     known: dict[bytes, int] = {}
 
     def lead(word: bytes) -> int:
         got = known.get(word)
         if got is None:
-            ids = encode(" " + word.decode("utf-8", "replace")[:LEAD_CHARS])
-            got = ids[0] if ids else OTHER_LEAD
+            got = next(iter(pieces(word)), OTHER_LEAD)
             if len(known) >= HELD:
                 known.clear()
-            if len(word) <= 4 * LEAD_CHARS:
+            if len(word) <= SHORT:
                 known[word] = got
         return got
 
@@ -128,26 +145,50 @@ class Classes:
 
 
 class Reader:
-    """Turns texts into hot-word numbers and classes, on an executor."""
+    """Turns texts into hot-word numbers, classes and subword ids, on an executor."""
 
     def __init__(self, raw: bytes, classes: Classes, hot: list[bytes]):
-        self.lead, self.of = lead_of(raw), classes.of
+        self.pieces, self.of = pieces_of(raw), classes.of
         self.number = {w: i for i, w in enumerate(hot)}
-        self.class_of_hot = np.array([self.class_of(w) for w in hot] + [0], np.uint8)
+        self.known: dict[bytes, bytes] = {}
+        self.ids_of_hot = [self.ids(w) for w in hot] + [b""]
+        self.class_of_hot = np.array([self.class_of(w, x) for w, x in zip(hot, self.ids_of_hot)] + [0], np.uint8)
 
-    def class_of(self, word: bytes) -> int:
-        return END_CLASS if word == END else self.of.get(self.lead(word), REST_CLASS)
+    def ids(self, word: bytes) -> bytes:
+        """All subword ids of a word, as uint16."""
+        return np.array([END_ID] if word == END else self.pieces(word) or [OTHER_ID], np.uint16).tobytes()
+
+    def class_of(self, word: bytes, ids: bytes) -> int:
+        return END_CLASS if word == END else self.of.get(int.from_bytes(ids[:2], sys.byteorder), REST_CLASS)
+
+    def cold(self, word: bytes) -> bytes:
+        got = self.known.get(word)
+        if got is None:
+            got = self.ids(word)
+            if len(self.known) >= HELD:
+                self.known.clear()
+            if len(word) <= SHORT:
+                self.known[word] = got
+        return got
 
     def __call__(self, text: bytes | None):
-        """(hot number or -1, class) of each token, and the tokens that are not hot."""
+        """(hot number or -1, class) of each token, the tokens that are not hot, and of all
+        subword ids (id, whether a token begins)."""
         words = tokens_of(text)
         number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         cls = self.class_of_hot[number]
+        ids = [self.ids_of_hot[i] for i in number.tolist()]
         rare = np.flatnonzero(number < 0)
         cold = [words[i] for i in rare.tolist()]
         if cold:
-            cls[rare] = [self.class_of(w) for w in cold]
-        return number, cls, cold
+            for i, w in zip(rare.tolist(), cold):
+                ids[i] = self.cold(w)
+            cls[rare] = [self.class_of(words[i], ids[i]) for i in rare.tolist()]
+        ends = np.fromiter(map(len, ids), np.int64, len(ids)).cumsum() // 2
+        starts = np.zeros(ends[-1], bool)
+        starts[0] = True
+        starts[ends[:-1]] = True
+        return number, cls, cold, np.frombuffer(b"".join(ids), np.uint16), starts
 
 
 @functools.lru_cache(1)
@@ -164,17 +205,22 @@ def trained(docs: DataFrame, shared, key: str, classes: Classes) -> dict[str, np
     def read(batches):
         reader = _reader(key, shared)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([reader(t)[1].tobytes() for t in fields(batch, "text")[0]], pa.binary())], ["ids"])
+            got = [reader(t) for t in fields(batch, "text")[0]]
+            columns = zip(*((ids.tobytes(), cls.tobytes(), np.packbits(starts).tobytes()) for _, cls, _, ids, starts in got))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (list(columns) or [[]] * 3)], ["ids", "classes", "starts"])
 
     part = docs.where(F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(TRAIN_SHARE)) == 0)
-    ids = written(part.select(F.col("text").cast("binary").alias("text")).mapInArrow(read, "ids binary"), "train").coalesce(TASKS)
+    ids = written(part.select(F.col("text").cast("binary").alias("text")).mapInArrow(read, "ids binary, classes binary, starts binary"), "train").coalesce(TASKS)
     for at in range(ROUNDS):
 
-        def learn(batches, start=attention.packed(model), at=at):
-            trainer = attention.Trainer(attention.unpacked(start), 1000 * at + TaskContext.get().partitionId())
+        start = docs.sparkSession.sparkContext.broadcast(attention.packed(model))
+
+        def learn(batches, start=start, at=at):
+            trainer = attention.Trainer(attention.unpacked(start.value), 1000 * at + TaskContext.get().partitionId())
             for batch in batches:
-                for raw in batch.column(0).to_pylist():
-                    trainer.add(np.frombuffer(raw, np.uint8))
+                for raw, cls, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                    tokens = np.frombuffer(raw, np.uint16)
+                    trainer.add(tokens, np.frombuffer(cls, np.uint8), np.unpackbits(np.frombuffer(bits, np.uint8), count=len(tokens)).astype(bool))
             trainer.train()
             yield pa.RecordBatch.from_arrays([pa.array([attention.packed(trainer.model)], pa.binary()), pa.array([trainer.seen], pa.int64())], ["model", "n"])
 
@@ -224,21 +270,22 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
             def flush():
                 w, y, mask, owner = (np.concatenate(x) for x in zip(*parts))
-                each = np.where(mask, scorer(w, y) - log_size[y], 0).sum(axis=1)
+                each = np.where(mask, scorer(w, y, mask) - log_size[y], 0).sum(axis=1)
                 for i, x in zip(*(a.tolist() for a in (np.unique(owner), np.bincount(owner - owner.min(), each)[np.unique(owner) - owner.min()]))):
                     heads[i][6] += x
                 parts.clear()
 
             for i, text in enumerate(texts):
-                number, cls, cold = reader(text)
+                number, cls, cold, subwords, starts = reader(text)
                 row += 1
                 hot_ = number[number >= 0]
                 heads.append([row, ids[i], held[i], len(number), len(hot_), float(log_count[hot_].sum()), 0.0])
                 tails += [(row, w, k) for w, k in Counter(cold).items()]
-                w, y, mask = attention.windows(cls)
+                w, y, mask = attention.windows(subwords, cls, starts)
                 for at in range(0, len(w), 4096):
-                    parts.append((w[at : at + 4096], y[at : at + 4096], mask[at : at + 4096], np.full(len(w[at : at + 4096]), i)))
-                    cut += len(w[at : at + 4096])
+                    own = at + np.flatnonzero(mask[at : at + 4096].any(axis=1))
+                    parts.append((w[own], y[own], mask[own], np.full(len(own), i)))
+                    cut += len(own)
                     if cut >= 4096:
                         flush()
                         cut = 0

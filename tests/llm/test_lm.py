@@ -122,3 +122,17 @@ def test_all_subwords_of_a_word_are_read():
         got.append(attention.Scorer(model)(w, y, mask)[mask])
     assert got[0][0] == got[1][0] and got[0][1] != got[1][1]
     assert attention.CLASSES >= 255
+
+
+def test_every_training_document_trains_the_attention(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lm, "written", lambda df, name, real=lm.written: kept.append((name, real(df, name))) or kept[-1][1])
+    rows = [(i, f"word{i} again") for i in range(40)] + [(None, "no id"), (None, "no id")]
+    lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    assert [df.count() for name, df in kept if name == "train"] == [held.count(False)]
+    # a table of one document trains on it
+    kept.clear()
+    learnt = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    lm.scored(spark.createDataFrame([(learnt, "one text")], "doc_id long, text string")).collect()
+    assert [df.count() for name, df in kept if name == "train"] == [1]

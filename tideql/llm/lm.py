@@ -31,8 +31,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words whose counts are broadcast, at most: those with at least some power of two of
 #: training tokens, the least that so many words reach. All other counts meet by a join.
 HOT = 200_000
-#: One in so many training documents, by hash, trains the attention; counts use all.
-TRAIN_SHARE = 6
 #: Rounds of training on all executors at once, and tasks of a round at most.
 ROUNDS, TASKS = 3, 16
 #: Characters of a word that the tokenizer gets at once: its time is not linear in their number.
@@ -197,9 +195,9 @@ def _reader(key: str, shared) -> Reader:
 
 
 def trained(docs: DataFrame, shared, key: str, classes: Classes) -> dict[str, np.ndarray]:
-    """Attention weights: in each round every task trains on its share of the documents
-    from the weights so far, and the mean of the results, by windows seen, goes on. The
-    driver gets at most TASKS sets of weights a round, of fixed size."""
+    """Attention weights, learnt from all of docs: in each round every task trains on its
+    documents from the weights so far, and the mean of the results, by windows seen, goes
+    on. The driver gets at most TASKS sets of weights a round, of fixed size."""
     model = attention.initial(classes.prior)
 
     def read(batches):
@@ -209,10 +207,8 @@ def trained(docs: DataFrame, shared, key: str, classes: Classes) -> dict[str, np
             columns = zip(*((ids.tobytes(), cls.tobytes(), np.packbits(starts).tobytes()) for _, cls, _, ids, starts in got))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (list(columns) or [[]] * 3)], ["ids", "classes", "starts"])
 
-    part = docs.where(F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(TRAIN_SHARE)) == 0)
-    ids = written(part.select(F.col("text").cast("binary").alias("text")).mapInArrow(read, "ids binary, classes binary, starts binary"), "train").coalesce(TASKS)
+    ids = written(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(read, "ids binary, classes binary, starts binary"), "train").coalesce(TASKS)
     for at in range(ROUNDS):
-
         start = docs.sparkSession.sparkContext.broadcast(attention.packed(model))
 
         def learn(batches, start=start, at=at):

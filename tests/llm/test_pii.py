@@ -125,3 +125,32 @@ def test_edges_of_the_input(spark):
     by = {r["doc_id"]: r for r in new.collect()}
     assert by[1]["text"] is None and by[1]["n_chars"] is None and by[2]["text"] == "[EMAIL] " * 3000 and by[2]["n_chars"] == 24_000
     assert pii.marked(docs.limit(0)).count() == pii.redacted(docs.limit(0)).count() == 0
+
+
+FORMS = [("@", "."), (" @ ", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "."), (" [at] ", "."), (" AT ", " DOT ")]
+
+
+@pytest.mark.parametrize("at,dot", FORMS)
+def test_every_trained_form_alone_is_shown_to_the_model(at, dot):
+    filler = "the ouly thing an inest " * 5
+    for shift in range(0, tagger.WIDTH, 5):
+        for mail in (f"john{at}example{dot}com", f"ann.lee{at}cs{dot}uni-x{dot}edu"):
+            text = filler + "x" * shift + " write to " + mail + " soon, " + filler
+            a = text.index(mail)
+            shown = {w for m in tagger.TRIGGER.finditer(text) for w in (m.start() // tagger.OVERLAP - 1, m.start() // tagger.OVERLAP)}
+            whole = {w for w in range(len(text) // tagger.OVERLAP) if w * tagger.OVERLAP <= a and a + len(mail) <= w * tagger.OVERLAP + tagger.WIDTH}
+            assert whole and whole <= shown
+            assert pii.plausible(0, mail)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["john", "a.b", "(", ")", "[", "]", " ", "at", "AT", "dot", ".", "com", "-", "_"]), max_size=14))
+def test_what_has_no_trigger_is_not_plausible(parts):
+    text = "".join(parts)
+    assert tagger.TRIGGER.search(text) or not any(pii.plausible(k, text) for k in range(4))
+
+
+def test_an_address_in_brackets_alone_is_found():
+    text = "the ouly thing an inest " * 2 + "write to john [at] example.org soon, " + "the ouly thing an inest " * 4
+    a = text.index("john")
+    assert (0, a, a + len("john [at] example.org")) in pii.all_spans([text], MODEL)[0][1]

@@ -261,8 +261,9 @@ def trained(seed: int = 11) -> Tagger:
     return tagger
 
 
-#: Every span has a digit, an at sign or a spelled-out dot; windows without are not looked at.
-TRIGGER = re.compile(r"[0-9@]|(?<![a-z])dot(?![a-z])", re.IGNORECASE)
+#: Every plausible span has a digit, an at sign, or an "at" in brackets or spaces that a word
+#: and a dot, plain or spelled out, come after; windows without any are not looked at.
+TRIGGER = re.compile(r"[0-9@]|(?<![a-z])dot(?![a-z])|(?<=[ (\[])at(?=[ )\]])(?= ?[)\]]? ?[0-9a-z-]+ ?[(\[]?(?:\.|(?<=[ (\[])dot(?=[ )\]])))", re.IGNORECASE)
 
 
 def found(tagger: Tagger, text: str) -> list[tuple[int, int, int]]:

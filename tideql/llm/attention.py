@@ -1,39 +1,49 @@
 """A causal self-attention model over subword ids, in numpy.
 
 Each position of a text is a subword id with a vector of its own; what is predicted is
-one of CLASSES classes, where a word begins. Text is cut into windows of CONTEXT + BLOCK
-positions that overlap by CONTEXT; only the last BLOCK positions of a window are
-predicted, so every word is scored once and sees at least CONTEXT positions before it
-(texts begin behind that many start marks).
+one of CLASSES classes, where a word begins: first its group, then which of the group's
+members it is. A text is scored in windows of CONTEXT + BLOCK positions that overlap by
+CONTEXT; only words that begin in the last BLOCK positions of a window are predicted, so
+every word is scored once and sees at least CONTEXT positions before it (texts begin
+behind that many start marks). For training a text is cut into windows of the same width
+that do not overlap, and every word that begins in a window is predicted.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Classes that are predicted.
-CLASSES = 255
+#: Classes that are predicted: GROUPS groups of MEMBERS.
+GROUPS, MEMBERS = 16, 64
+CLASSES = GROUPS * MEMBERS
 #: Subword ids that have a vector; the id after the last is the start mark.
 IDS, START = 65_535, 65_535
-CONTEXT, BLOCK = 40, 24
+CONTEXT = BLOCK = 40
 WIDTH, DIM = CONTEXT + BLOCK, 16
-#: Windows in one forward pass, in one training step, and kept for training at once.
-CHUNK, BATCH, HELD = 256, 128, 1 << 16
-RATE, DECAY, LEAST_STEPS, MOST_EPOCHS = 0.01, 0.01, 150, 3
+#: Windows in one forward pass, in one training step, and kept for training at once; batches
+#: whose windows are sorted by their numbers of words, so that little is filled up.
+CHUNK, BATCH, HELD, SORTED = 128, 128, 1 << 15, 8
+#: A task's first EARLY windows go in batches of LITTLE.
+EARLY, LITTLE = 4096, 16
+RATE, DECAY = 0.01, 0.01
 
 #: Exponents up to this size need no shift.
 SAFE = 60
 
-_MASK = np.where(np.arange(WIDTH)[None] <= np.arange(CONTEXT, WIDTH)[:, None], 0.0, -1e9).astype(np.float32)
-SHAPES = {"e": (IDS + 1, DIM), "p": (WIDTH, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "u": (DIM, CLASSES), "b": (CLASSES,)}
+_BEFORE = np.tri(WIDTH, dtype=np.float32)
+_ONES = np.ones(max(WIDTH, MEMBERS, GROUPS), np.float32)
+SHAPES = {"e": (IDS + 1, DIM), "p": (WIDTH, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "g": (DIM, GROUPS), "gb": (GROUPS,), "u": (GROUPS, DIM, MEMBERS), "b": (GROUPS, MEMBERS)}
 
 
 def initial(prior: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
     """Small random weights; before training the model predicts the prior."""
     rng = np.random.default_rng(seed)
     model = {k: (rng.normal(0, 0.3 if k in "ep" else DIM**-0.5, s)).astype(np.float32) for k, s in SHAPES.items()}
-    model["u"] *= np.float32(0.05)
-    model["b"] = np.log(np.maximum(prior, 1e-30)).astype(np.float32)
+    prior = np.maximum(prior.reshape(GROUPS, MEMBERS), 1e-30)
+    for k in "gu":
+        model[k] *= np.float32(0.05)
+    model["gb"] = np.log(prior.sum(axis=1)).astype(np.float32)
+    model["b"] = np.log(prior / prior.sum(axis=1, keepdims=True)).astype(np.float32)
     return model
 
 
@@ -50,117 +60,206 @@ def unpacked(raw: bytes) -> dict[str, np.ndarray]:
     return model
 
 
-def windows(tokens: np.ndarray, classes: np.ndarray | None = None, starts: np.ndarray | None = None):
-    """(windows, targets, mask) of one text's ids: uint16 (n, WIDTH), uint8 (n, BLOCK), bool (n, BLOCK).
-
-    starts: whether a word begins at an id, classes: the words' classes, one for each start;
-    without them every id is a word and its own class."""
+def _laid(tokens: np.ndarray, classes, starts, lead: int, width: int):
+    """(inputs, targets, mask) of one text behind `lead` start marks, filled up to whole
+    widths: at each input what comes next. starts: whether a word begins at an id, classes:
+    the words' classes, one for each start; without them every id is a word and its own class."""
     n = len(tokens)
-    blocks = -(-n // BLOCK)
-    inputs = np.full(WIDTH + blocks * BLOCK, START, np.uint16)
-    inputs[WIDTH : WIDTH + n - 1] = tokens[:-1]
-    mask = np.zeros(blocks * BLOCK, bool)
-    mask[:n] = True if starts is None else starts
-    target = np.zeros(blocks * BLOCK, np.uint8)
+    size = -(-(lead + n) // width) * width
+    inputs = np.full(size, START, np.uint16)
+    inputs[lead + 1 : lead + n] = tokens[:-1]
+    mask = np.zeros(size, bool)
+    mask[lead : lead + n] = True if starts is None else starts
+    target = np.zeros(size, np.uint16)
     target[mask] = tokens if classes is None else classes
-    view = np.lib.stride_tricks.sliding_window_view(inputs[BLOCK - 1 :], WIDTH)[::BLOCK][:blocks]
-    # position WIDTH - 1 + t of the inputs predicts token t: window i, place CONTEXT + r predicts token i * BLOCK + r
-    return view, target.reshape(blocks, BLOCK), mask.reshape(blocks, BLOCK)
+    return inputs, target, mask
+
+
+def streams(tokens: np.ndarray, classes: np.ndarray | None = None, starts: np.ndarray | None = None, most: int = 1 << 30):
+    """(inputs, targets, mask) of one text for scoring: CONTEXT start marks, then its blocks.
+    A text of over `most` positions gives several, each behind the CONTEXT positions before it."""
+    inputs, target, mask = _laid(tokens, classes, starts, CONTEXT, BLOCK)
+    size = max(1, most // BLOCK) * BLOCK
+    for at in range(CONTEXT, len(inputs), size):
+        part = slice(at - CONTEXT, at + size)
+        own = mask[part].copy()
+        own[:CONTEXT] = False
+        yield inputs[part], target[part], own
+
+
+def windows(tokens: np.ndarray, classes: np.ndarray | None = None, starts: np.ndarray | None = None, shift: int = 0):
+    """(inputs, targets, mask) of one text for training, each (n, WIDTH): windows that do not
+    overlap, the first of which has `shift` more start marks, so that words stand at any place."""
+    return tuple(x.reshape(-1, WIDTH) for x in _laid(tokens, classes, starts, shift, WIDTH))
+
+
+def _asked(mask: np.ndarray):
+    """Of a mask (n, places): row and place of each word, its number within the row, and
+    the places as a matrix, filled up with 0."""
+    row, place = np.nonzero(mask)
+    count = np.bincount(row, minlength=len(mask))
+    rank = np.arange(len(row)) - np.repeat(count.cumsum() - count, count)
+    every = np.zeros((len(mask), int(count.max())), np.int64)
+    every[row, rank] = place
+    return row, place, rank, every
+
+
+def _exponents(score: np.ndarray, before: np.ndarray, safe: bool) -> np.ndarray:
+    """exp of the scores of what lies before, else 0; in place. Unsafe ones are shifted."""
+    if not safe:
+        score -= np.where(before > 0, score, -np.inf).max(axis=2, keepdims=True)
+        np.minimum(score, 0, out=score)
+    np.exp(score, out=score)
+    score *= before
+    return score
+
+
+def _fit(z: np.ndarray, y: np.ndarray, safe: bool) -> np.ndarray:
+    """Log of the softmax of z at y; leaves in z the softmax."""
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
+    fit = z[np.arange(len(z)), y]
+    np.exp(z, out=z)
+    total = z @ _ONES[: z.shape[1]].astype(z.dtype)
+    z /= total[:, None]
+    return fit - np.log(total)
+
+
+def _by_group(group: np.ndarray):
+    """(order, [(group, start, end)]): words sorted by group, and each group's run."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    ends = np.bincount(group, minlength=GROUPS).cumsum()
+    return order, [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())) if a < b]
+
+
+def _norm(x: np.ndarray) -> float:
+    """Greatest length of the last axis' vectors."""
+    return float(np.sqrt((x * x).sum(axis=-1).max())) if x.size else 0.0
 
 
 class Scorer:
-    """Log10 probabilities of the targets of many windows; per-id and per-place products are made once."""
+    """Log10 probabilities of the words of streams; per-id and per-place products are made once."""
 
     def __init__(self, model: dict[str, np.ndarray]):
-        s = np.float32(DIM**-0.5)
-        out = model["v"] @ model["o"]
-        self.x, self.xp = model["e"], model["p"][CONTEXT:]
-        self.q, self.qp = model["e"] @ model["q"] * s, model["p"][CONTEXT:] @ model["q"] * s
-        self.k, self.kp = model["e"] @ model["k"], model["p"] @ model["k"]
-        self.v, self.vp = model["e"] @ out, model["p"] @ out
-        self.u, self.b = model["u"], model["b"]
-
-    def __call__(self, ids: np.ndarray, target: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-        """Places that the mask leaves out are 0."""
-        mask = np.ones(target.shape, bool) if mask is None else mask
-        got = np.zeros(target.shape, np.float32)
-        for i in range(0, len(ids), CHUNK):
-            w, own = ids[i : i + CHUNK], mask[i : i + CHUNK]
-            y = target[i : i + CHUNK][own]
-            late = w[:, CONTEXT:]
-            score = (self.q[late] + self.qp) @ (self.k[w] + self.kp).transpose(0, 2, 1)
-            score += _MASK
-            if score.max() > SAFE:
-                score -= score.max(axis=2, keepdims=True)
-            np.exp(score, out=score)
-            seen = score @ (self.v[w] + self.vp)
-            seen /= score.sum(axis=2, keepdims=True)
-            seen += self.x[late]
-            seen += self.xp
-            z = seen[own] @ self.u
-            z += self.b
-            if z.size and np.abs(z).max() > SAFE:
-                z -= z.max(axis=1, keepdims=True)
-            fit = z[np.arange(len(z)), y]
-            np.exp(z, out=z)
-            got[i : i + CHUNK][own] = fit - np.log(z.sum(axis=1))
-        return got.astype(np.float64) / np.log(10)
+        s, out = np.float32(DIM**-0.5), model["v"] @ model["o"]
+        asks = lambda x: np.concatenate([x, x @ model["q"] * s], axis=1)
+        tells = lambda x: np.concatenate([x @ model["k"], x @ out], axis=1)
+        e, p = model["e"], model["p"]
+        self.ask, self.ask_place, self.tell, self.tell_place = asks(e), asks(p), tells(e), tells(p)
+        self.safe = (_norm(self.ask[:, DIM:]) + _norm(self.ask_place[:, DIM:])) * (_norm(self.tell[:, :DIM]) + _norm(self.tell_place[:, :DIM])) <= SAFE
+        self.g, self.gb, self.u, self.b = (model[k] for k in ("g", "gb", "u", "b"))
+        self.steep, self.bias = max(_norm(self.g.T), _norm(self.u.transpose(0, 2, 1))), max(np.abs(self.gb).max(), np.abs(self.b).max())
+
+    def __call__(self, inputs: np.ndarray, target: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """For streams one after another; one number for each place of the mask, in order."""
+        own = mask[CONTEXT:].reshape(-1, BLOCK)
+        count = own.sum(axis=1)
+        first, y = count.cumsum() - count, target[CONTEXT:][mask[CONTEXT:]]
+        h = np.empty((len(y), DIM), np.float32)
+        view = np.lib.stride_tricks.sliding_window_view(inputs, WIDTH)[::BLOCK]
+        by_count = np.argsort(count, kind="stable")
+        by_count = by_count[count[by_count] > 0]
+        for i in range(0, len(by_count), CHUNK):
+            at = by_count[i : i + CHUNK]
+            w = view[at]
+            row, place, rank, every = _asked(own[at])
+            every += CONTEXT
+            x = self.ask.take(w[np.arange(len(at))[:, None], every], axis=0)
+            x += self.ask_place[every]
+            kv = self.tell.take(w, axis=0)
+            kv += self.tell_place
+            score = _exponents(x[:, :, DIM:] @ kv[:, :, :DIM].transpose(0, 2, 1), _BEFORE[every], self.safe)
+            seen = score @ kv[:, :, DIM:]
+            seen /= (score @ _ONES[:WIDTH])[:, :, None]
+            seen += x[:, :, :DIM]
+            h[first[at[row]] + rank] = seen[row, rank]
+        safe = _norm(h) * self.steep + self.bias <= SAFE
+        group, member = np.divmod(y.astype(np.int64), MEMBERS)
+        got = np.empty(len(y))
+        for i in range(0, len(y), 1 << 14):
+            got[i : i + (1 << 14)] = _fit(h[i : i + (1 << 14)] @ self.g + self.gb, group[i : i + (1 << 14)], safe)
+        order, runs = _by_group(group)
+        for g, a, b in runs:
+            for c in range(a, b, 1 << 14):
+                at = order[c : min(b, c + (1 << 14))]
+                got[at] += _fit(h[at] @ self.u[g] + self.b[g], member[at], safe)
+        return got / np.log(10)
 
 
 def gradients(m: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, mask: np.ndarray):
-    """(mean loss in nats, its gradients) over the unmasked targets."""
-    n, s = max(1, int(mask.sum())), np.float32(DIM**-0.5)
-    x = m["e"][ids] + m["p"]
-    late = x[:, CONTEXT:]
-    q, k, v = late @ m["q"], x @ m["k"], x @ m["v"]
-    a = q @ k.transpose(0, 2, 1) * s + _MASK
-    a = np.exp(a - a.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
-    o = a @ v
-    own = np.flatnonzero(mask)
-    h = (late + o @ m["o"]).reshape(-1, DIM)[own]
-    z = h @ m["u"] + m["b"]
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    total = e.sum(axis=1, keepdims=True)
-    rows, y = np.arange(len(z)), target.ravel()[own]
-    loss = float((np.log(total[:, 0]) - z[rows, y]).sum() / n)
-    dz = e / total
-    dz[rows, y] -= 1
-    dz *= np.float32(1 / n)
-    g = {"u": h.T @ dz, "b": dz.sum(axis=0)}
-    dh = np.zeros_like(late)
-    dh.reshape(-1, DIM)[own] = dz @ m["u"].T
-    g["o"] = o.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
-    do = dh @ m["o"].T
-    da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * s
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    """(mean loss in nats, its gradients) over the words of windows. The gradient of the
+    ids' vectors is (ids seen, their rows)."""
+    n, s = max(1, int(mask.sum())), m["q"].dtype.type(DIM**-0.5)
+    row, place, rank, every = _asked(mask)
+    x = m["e"].take(ids, axis=0)
+    x += m["p"]
     flat = x.reshape(-1, DIM)
-    g["q"] = late.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-    g["k"], g["v"] = flat.T @ dk.reshape(-1, DIM), flat.T @ dv.reshape(-1, DIM)
-    dx = dk @ m["k"].T + dv @ m["v"].T
-    dx[:, CONTEXT:] += dh + dq @ m["q"].T
-    g["p"] = dx.sum(axis=0)
-    dx = dx.reshape(-1, DIM)
-    seen, at = np.unique(ids, return_inverse=True)
-    at = at.ravel()
-    g["e"] = np.zeros(SHAPES["e"], dx.dtype)
-    g["e"][seen] = np.stack([np.bincount(at, dx[:, j], len(seen)) for j in range(DIM)], axis=1)
-    return loss, g
+    wq, wkv = m["q"] * s, np.concatenate([m["k"], m["v"]], axis=1)
+    kv = (flat @ wkv).reshape(*ids.shape, 2 * DIM)
+    k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+    late = x[np.arange(len(ids))[:, None], every]
+    q = late @ wq
+    a = _exponents(q @ k.transpose(0, 2, 1), _BEFORE[every].astype(x.dtype), _norm(q) * _norm(k) <= SAFE)
+    a /= (a @ _ONES[:WIDTH].astype(x.dtype))[:, :, None]
+    o = a @ v
+    own_o = o[row, rank]
+    h = late[row, rank] + own_o @ m["o"]
+    group, member = np.divmod(target[mask].astype(np.int64), MEMBERS)
+    safe = _norm(h) * max(_norm(m["g"].T), _norm(m["u"].transpose(0, 2, 1))) + max(np.abs(m["gb"]).max(), np.abs(m["b"]).max()) <= SAFE
+    z = h @ m["g"]
+    z += m["gb"]
+    loss = _fit(z, group, safe).sum()
+    z[np.arange(len(z)), group] -= 1
+    z /= z.dtype.type(n)
+    g = {"g": h.T @ z, "gb": z.sum(axis=0), "u": np.zeros_like(m["u"]), "b": np.zeros_like(m["b"])}
+    dh = z @ m["g"].T
+    order, runs = _by_group(group)
+    for j, first, last in runs:
+        at = order[first:last]
+        part = h[at]
+        z = part @ m["u"][j]
+        z += m["b"][j]
+        loss += _fit(z, member[at], safe).sum()
+        z[np.arange(len(z)), member[at]] -= 1
+        z /= z.dtype.type(n)
+        g["u"][j], g["b"][j] = part.T @ z, z.sum(axis=0)
+        dh[at] += z @ m["u"][j].T
+    g["o"] = own_o.T @ dh
+    do = np.zeros_like(o)
+    do[row, rank] = dh @ m["o"].T
+    da = do @ v.transpose(0, 2, 1)
+    da -= (do * o).sum(axis=2, keepdims=True)
+    da *= a
+    dq = da @ k
+    d = np.empty_like(kv)
+    np.matmul(da.transpose(0, 2, 1), q, out=d[:, :, :DIM])
+    np.matmul(a.transpose(0, 2, 1), do, out=d[:, :, DIM:])
+    d = d.reshape(-1, 2 * DIM)
+    dwkv = flat.T @ d
+    own_dq = dq[row, rank]
+    g["q"], g["k"], g["v"] = late[row, rank].T @ own_dq * s, dwkv[:, :DIM], dwkv[:, DIM:]
+    dx = d @ wkv.T
+    dx.reshape(x.shape)[row, place] += dh + own_dq @ wq.T
+    g["p"] = dx.reshape(x.shape).sum(axis=0)
+    by_id = np.argsort(ids, axis=None, kind="stable")
+    each = ids.ravel()[by_id]
+    first = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+    g["e"] = each[first], np.add.reduceat(dx[by_id], first)
+    return float(-loss / n), g
 
 
 class Trainer:
-    """Adam steps over windows of texts, which are handed over one after another."""
+    """Adam steps over windows of texts, which are handed over one after another; each
+    window is seen once."""
 
-    def __init__(self, model: dict[str, np.ndarray], seed: int):
-        self.model, self.rng = model, np.random.default_rng(seed)
+    def __init__(self, model: dict[str, np.ndarray], seed: int, rate: float = RATE):
+        self.model, self.rng, self.rate = model, np.random.default_rng(seed), rate
         self.m = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
         self.v = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
         self.steps, self.seen, self.parts, self.n = 0, 0, [], 0
 
     def add(self, tokens: np.ndarray, classes: np.ndarray | None = None, starts: np.ndarray | None = None) -> None:
-        part = windows(tokens, classes, starts)
+        part = windows(tokens, classes, starts, int(self.rng.integers(WIDTH)))
         own = part[2].any(axis=1)
         self.parts.append(tuple(x[own] for x in part))
         self.n += int(own.sum())
@@ -168,26 +267,32 @@ class Trainer:
             self.train()
 
     def train(self) -> None:
-        """Steps over the windows kept so far, more than once over while they are few."""
+        """Steps over the windows kept so far, in random order."""
         if not self.n:
             return
         ids, target, mask = (np.concatenate(x) for x in zip(*self.parts))
-        self.seen, n, self.parts, self.n = self.seen + self.n, self.n, [], 0
-        for _ in range(min(MOST_EPOCHS, max(1, LEAST_STEPS * BATCH // n))):
-            order = self.rng.permutation(n)
-            for i in range(0, n, BATCH):
-                at = order[i : i + BATCH]
+        n, self.parts, self.n, i = self.n, [], 0, 0
+        order, count = self.rng.permutation(n), mask.sum(axis=1)
+        while i < n:
+            size = LITTLE if self.seen < EARLY else BATCH
+            some = order[i : i + SORTED * size]
+            some = some[np.argsort(count[some], kind="stable")]
+            for j in self.rng.permutation(-(-len(some) // size)):
+                at = some[j * size : (j + 1) * size]
                 self.step(ids[at], target[at], mask[at])
+            self.seen, i = self.seen + len(some), i + len(some)
 
     def step(self, ids, target, mask) -> float:
         loss, g = gradients(self.model, ids, target, mask)
         self.steps += 1
-        rate = RATE * min(1.0, self.steps / 20)
+        rate = self.rate * min(1.0, self.steps / 20)
+        one, two = np.float32(1 - 0.9**self.steps), np.float32(1 - 0.99**self.steps)
         for k in SHAPES:
             # of the ids' vectors only those seen in this step move
-            at = np.unique(ids) if k == "e" else slice(None)
-            m = self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * g[k][at]
-            v = self.v[k][at] = 0.99 * self.v[k][at] + 0.01 * g[k][at] ** 2
-            change = (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-6)
-            self.model[k][at] = self.model[k][at] * np.float32(1 if k in "be" else 1 - rate * DECAY) - rate * change
+            at, x = g[k] if k == "e" else (slice(None), g[k])
+            m = self.m[k][at] * np.float32(0.9) + x * np.float32(0.1)
+            v = self.v[k][at] * np.float32(0.99) + x * x * np.float32(0.01)
+            self.m[k][at], self.v[k][at] = m, v
+            change = (m / one) / (np.sqrt(v / two) + np.float32(1e-6))
+            self.model[k][at] = self.model[k][at] * np.float32(1 if k in ("b", "gb", "e") else 1 - rate * DECAY) - np.float32(rate) * change
         return loss

@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import sys
 from collections import Counter
 from itertools import repeat
 
@@ -31,8 +30,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words whose counts are broadcast, at most: those with at least some power of two of
 #: training tokens, the least that so many words reach. All other counts meet by a join.
 HOT = 200_000
-#: Rounds of training on all executors at once, and tasks of a round at most.
-ROUNDS, TASKS = 3, 16
+#: Rounds of training on all executors at once, the steps' sizes in each, the windows that
+#: one task of a round trains on, and the sets of weights that are added up in one task.
+ROUNDS, RATES, TASK_WINDOWS, FAN = 3, (1.0, 0.6, 0.3), 1 << 16, 8
+#: Positions scored together.
+TOGETHER = 1 << 17
 #: Characters of a word that the tokenizer gets at once: its time is not linear in their number.
 STRETCH = 1024
 #: Words up to so many bytes are remembered.
@@ -128,14 +130,19 @@ class Classes:
     def __init__(self, leads: list[tuple[int, int, int]], ends: int):
         """leads: (lead id, tokens, distinct words) without the end; ends: training texts."""
         order = sorted(leads, key=lambda r: (-r[1], r[0]))
-        self.of = {r[0]: i for i, r in enumerate(order[:REST_CLASS])}
+        of = {r[0]: i for i, r in enumerate(order[:REST_CLASS])}
         self.tokens, self.words = np.zeros(attention.CLASSES), np.zeros(attention.CLASSES)
         for lead, n, distinct in leads:
-            at = self.of.get(lead, REST_CLASS)
+            at = of.get(lead, REST_CLASS)
             self.tokens[at] += n
             self.words[at] += distinct
         self.tokens[END_CLASS], self.words[END_CLASS] = ends, min(1, ends)
         self.size = self.tokens + self.words + 1
+        #: The class of a word by the first of its ids.
+        self.by_id = np.full(attention.IDS, REST_CLASS, np.uint16)
+        for lead, i in of.items():
+            self.by_id[OTHER_ID if lead == OTHER_LEAD else lead] = i
+        self.by_id[END_ID] = END_CLASS
 
     @property
     def prior(self) -> np.ndarray:
@@ -143,87 +150,133 @@ class Classes:
 
 
 class Reader:
-    """Turns texts into hot-word numbers, classes and subword ids, on an executor."""
+    """Turns texts into hot-word numbers and subword ids, on an executor."""
 
-    def __init__(self, raw: bytes, classes: Classes, hot: list[bytes]):
-        self.pieces, self.of = pieces_of(raw), classes.of
+    def __init__(self, raw: bytes, hot: list[bytes]):
+        self.pieces = pieces_of(raw)
         self.number = {w: i for i, w in enumerate(hot)}
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.ids_of_hot = [self.ids(w) for w in hot] + [b""]
-        self.class_of_hot = np.array([self.class_of(w, x) for w, x in zip(hot, self.ids_of_hot)] + [0], np.uint8)
 
     def ids(self, word: bytes) -> bytes:
         """All subword ids of a word, as uint16."""
         return np.array([END_ID] if word == END else self.pieces(word) or [OTHER_ID], np.uint16).tobytes()
 
-    def class_of(self, word: bytes, ids: bytes) -> int:
-        return END_CLASS if word == END else self.of.get(int.from_bytes(ids[:2], sys.byteorder), REST_CLASS)
-
     def cold(self, word: bytes) -> bytes:
-        got = self.known.get(word)
-        if got is None:
-            got = self.ids(word)
+        """The same, remembering words in two generations of bounded size."""
+        got = self.known.get(word) or self.older.get(word) or self.ids(word)
+        if len(word) <= SHORT:
             if len(self.known) >= HELD:
-                self.known.clear()
-            if len(word) <= SHORT:
-                self.known[word] = got
+                self.older, self.known = self.known, {}
+            self.known[word] = got
         return got
 
     def __call__(self, text: bytes | None):
-        """(hot number or -1, class) of each token, the tokens that are not hot, and of all
-        subword ids (id, whether a token begins)."""
+        """Hot number or -1 of each token, the tokens that are not hot, all subword ids, and
+        at which of them a token begins."""
         words = tokens_of(text)
         number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        cls = self.class_of_hot[number]
         ids = [self.ids_of_hot[i] for i in number.tolist()]
-        rare = np.flatnonzero(number < 0)
-        cold = [words[i] for i in rare.tolist()]
-        if cold:
-            for i, w in zip(rare.tolist(), cold):
-                ids[i] = self.cold(w)
-            cls[rare] = [self.class_of(words[i], ids[i]) for i in rare.tolist()]
+        cold = []
+        for i in np.flatnonzero(number < 0).tolist():
+            cold.append(words[i])
+            ids[i] = self.cold(words[i])
         ends = np.fromiter(map(len, ids), np.int64, len(ids)).cumsum() // 2
         starts = np.zeros(ends[-1], bool)
         starts[0] = True
         starts[ends[:-1]] = True
-        return number, cls, cold, np.frombuffer(b"".join(ids), np.uint16), starts
+        return number, cold, np.frombuffer(b"".join(ids), np.uint16), starts
 
 
 @functools.lru_cache(1)
 def _reader(key: str, shared) -> Reader:
-    return Reader(*shared.value)
+    return Reader(*shared.value[:2])
+
+
+def _texts(batch: pa.RecordBatch):
+    """(ids, starts) of each row."""
+    for ids, bits in zip(*fields(batch, "ids", "starts")):
+        ids = np.frombuffer(ids, np.uint16)
+        yield ids, np.unpackbits(np.frombuffer(bits, np.uint8), count=len(ids)).astype(bool)
 
 
-def trained(docs: DataFrame, shared, key: str, classes: Classes) -> dict[str, np.ndarray]:
-    """Attention weights, learnt from all of docs: in each round every task trains on its
-    documents from the weights so far, and the mean of the results, by windows seen, goes
-    on. The driver gets at most TASKS sets of weights a round, of fixed size."""
-    model = attention.initial(classes.prior)
+def read(docs: DataFrame, shared, key: str) -> DataFrame:
+    """Each row of docs(doc_id, held_out, text) read once: its tokens as subword ids, the sum
+    of its hot words' log counts, and its other words with their numbers."""
 
-    def read(batches):
-        reader = _reader(key, shared)
+    def run(batches):
+        reader, row = _reader(key, shared), TaskContext.get().partitionId() << 33
+        log_count = np.log10(np.append(shared.value[2], 0.0) + 1)
         for batch in batches:
-            got = [reader(t) for t in fields(batch, "text")[0]]
-            columns = zip(*((ids.tobytes(), cls.tobytes(), np.packbits(starts).tobytes()) for _, cls, _, ids, starts in got))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (list(columns) or [[]] * 3)], ["ids", "classes", "starts"])
+            doc_ids, held, texts = fields(batch, "doc_id", "held_out", "text")
+            heads, words, times, ends = [], [], [], [0]
+            for i, text in enumerate(texts):
+                number, cold, ids, starts = reader(text)
+                hot = number[number >= 0]
+                heads.append((row, len(number), len(hot), float(log_count[hot].sum()), ids.tobytes(), np.packbits(starts).tobytes(), len(ids)))
+                row += 1
+                if cold:
+                    w, k = zip(*Counter(cold).items())
+                    words += w
+                    times += k
+                ends.append(len(words))
+            columns = list(zip(*heads)) if heads else [[]] * 7
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int64()]
+            names = ["row", "n_tokens", "n_known", "logs", "ids", "starts", "n_ids"]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), *(pa.array(c, t) for c, t in zip(columns, types)), rare], ["doc_id", "held_out", *names, "rare"])
+
+    schema = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, logs double, ids binary, starts binary, n_ids long, rare array<struct<word:binary,times:long>>"
+    return written(docs.mapInArrow(run, schema), "read")
 
-    ids = written(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(read, "ids binary, classes binary, starts binary"), "train").coalesce(TASKS)
+
+def _mean(models: DataFrame) -> dict[str, np.ndarray] | None:
+    """The mean of the sets of weights in models(model, n), by n. FAN sets at a time meet in a
+    task, and their sums again, until one is left: the driver gets one set whatever the input."""
+
+    def add(batches):
+        total, n = None, 0
+        for batch in batches:
+            for raw, k in zip(*fields(batch, "model", "n")):
+                part = np.frombuffer(raw, np.float32).astype(np.float64) * k
+                total, n = part if total is None else total + part, n + k
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["model", "n"])
+
+    models = written(models, "models")
+    left = models.count()
+    while left > 1:
+        left = -(-left // FAN)
+        models = models.repartition(left).mapInArrow(add, "model binary, n long")
+        models = written(models, "models") if left > 1 else models
+    one = models.first() if left else None
+    return attention.unpacked(one["model"]) if one else None
+
+
+def trained(texts: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
+    """Attention weights, learnt from all of texts(row, ids, starts, n_ids), each once. The
+    rows are dealt to ROUNDS rounds; in each round every task trains on its rows from the
+    weights so far, and the mean of the results, by windows seen, goes on. There are as many
+    tasks as the rows make up TASK_WINDOWS windows."""
+    model, session = attention.initial(classes.prior), texts.sparkSession
+    by_id = session.sparkContext.broadcast(classes.by_id)
     for at in range(ROUNDS):
-        start = docs.sparkSession.sparkContext.broadcast(attention.packed(model))
+        mine = texts.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == at)
+        windows = mine.agg(F.sum(F.ceil((F.col("n_ids") + 1) / attention.WIDTH))).first()[0] or 0
+        start = session.sparkContext.broadcast(attention.packed(model))
 
         def learn(batches, start=start, at=at):
-            trainer = attention.Trainer(attention.unpacked(start.value), 1000 * at + TaskContext.get().partitionId())
+            trainer = attention.Trainer(attention.unpacked(start.value), 1000 * at + TaskContext.get().partitionId(), attention.RATE * RATES[at])
             for batch in batches:
-                for raw, cls, bits in zip(*(c.to_pylist() for c in batch.columns)):
-                    tokens = np.frombuffer(raw, np.uint16)
-                    trainer.add(tokens, np.frombuffer(cls, np.uint8), np.unpackbits(np.frombuffer(bits, np.uint8), count=len(tokens)).astype(bool))
+                for ids, starts in _texts(batch):
+                    trainer.add(ids, by_id.value[ids[starts]], starts)
             trainer.train()
-            yield pa.RecordBatch.from_arrays([pa.array([attention.packed(trainer.model)], pa.binary()), pa.array([trainer.seen], pa.int64())], ["model", "n"])
+            if trainer.seen:
+                yield pa.RecordBatch.from_arrays([pa.array([attention.packed(trainer.model)], pa.binary()), pa.array([trainer.seen], pa.int64())], ["model", "n"])
 
-        got = [(attention.unpacked(r["model"]), r["n"]) for r in ids.mapInArrow(learn, "model binary, n long").collect()]
-        total = sum(n for _, n in got)
-        if total:
-            model = {k: sum(m[k] * np.float32(n / total) for m, n in got) for k in model}
+        tasks = max(1, -(-int(windows) // TASK_WINDOWS))
+        model = _mean(mine.select("ids", "starts").coalesce(tasks).mapInArrow(learn, "model binary, n long")) or model
     return model
 
 
@@ -232,74 +285,59 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     docs(doc_id, text). Rows whose crc32(doc_id) remainder by 7 is 2 are held out, all others
     are learnt from. A null id counts as the empty text, a null text as empty: its only token
-    is the end. Repeated rows each count and each give a row. Without training rows every
-    token is unknown, and the model predicts its untrained prior. An empty table gives an
-    empty result."""
+    is the end. Repeated rows each count and each give a row. Very long texts are read as a
+    whole and scored some windows at a time. Without training rows every token is unknown,
+    and the model predicts its untrained prior. An empty table gives an empty result."""
     spark = docs.sparkSession
     ship(spark)
     with open(vocabulary, "rb") as f:
         raw = f.read()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder("doc_id", 7) == 2).alias("held_out"))
-    learnt = docs.where(~F.col("held_out"))
-    known = counts(learnt, raw)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 7) == 2).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    known = counts(docs.where(~F.col("held_out")), raw)
     ends = known.where(F.col("word") == F.lit(END)).select("c").first()
     # at most one row for each id of the vocabulary
     leads = known.where(F.col("word") != F.lit(END)).groupBy("lead").agg(F.sum("c").alias("n"), F.count("*").alias("words")).collect()
     classes = Classes([(r["lead"], r["n"], r["words"]) for r in leads], ends["c"] if ends else 0)
     n, v = int(classes.tokens.sum()), int(classes.words.sum())
-    reach = known.agg(*(F.count_if(F.col("c") >= (1 << k)).alias(f"k{k}") for k in range(1, 50))).first()
-    # at most HOT words have so many tokens
+    short = F.octet_length("word") <= SHORT
+    reach = known.where(short).agg(*(F.count_if(F.col("c") >= (1 << k)).alias(f"k{k}") for k in range(1, 50))).first()
+    # at most HOT words of SHORT bytes have so many tokens
     least = next((1 << k for k in range(1, 50) if reach[f"k{k}"] <= HOT), 1 << 50)
-    hot = sorted((bytes(r["word"]), r["c"]) for r in known.where(F.col("c") >= least).select("word", "c").collect())
-    shared = spark.sparkContext.broadcast((raw, classes, [w for w, _ in hot]))
+    is_hot = short & (F.col("c") >= least)
+    hot = sorted((bytes(r["word"]), r["c"]) for r in known.where(is_hot).select("word", "c").collect())
+    shared = spark.sparkContext.broadcast((raw, [w for w, _ in hot], np.array([c for _, c in hot], float)))
     key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)}"
-    model = trained(learnt, shared, key, classes)
-    weights = spark.sparkContext.broadcast((attention.packed(model), np.array([c for _, c in hot] + [0], float)))
-    log_size = np.log10(classes.size)
+    rows = read(docs, shared, key)
+    model = trained(rows.where(~F.col("held_out")).select("row", "ids", "starts", "n_ids"), classes)
+    weights = spark.sparkContext.broadcast((attention.packed(model), classes.by_id, np.log10(classes.size)))
 
     def score(batches):
-        reader, (packed, hot_counts) = _reader(key, shared), weights.value
-        scorer, log_count, row = attention.Scorer(attention.unpacked(packed)), np.log10(hot_counts + 1), TaskContext.get().partitionId() << 33
+        packed, by_id, log_size = weights.value
+        scorer = attention.Scorer(attention.unpacked(packed))
         for batch in batches:
-            ids, held, texts = fields(batch, "doc_id", "held_out", "text")
-            heads, tails, parts, cut = [], [], [], 0
+            fit, parts, held = np.zeros(batch.num_rows), [], 0
 
             def flush():
-                w, y, mask, owner = (np.concatenate(x) for x in zip(*parts))
-                each = np.where(mask, scorer(w, y, mask) - log_size[y], 0).sum(axis=1)
-                for i, x in zip(*(a.tolist() for a in (np.unique(owner), np.bincount(owner - owner.min(), each)[np.unique(owner) - owner.min()]))):
-                    heads[i][6] += x
+                inputs, target, mask, owner = (np.concatenate(x) for x in zip(*parts))
+                fit[: owner[-1] + 1] += np.bincount(owner, scorer(inputs, target, mask) - log_size[target[mask]], owner[-1] + 1)
                 parts.clear()
 
-            for i, text in enumerate(texts):
-                number, cls, cold, subwords, starts = reader(text)
-                row += 1
-                hot_ = number[number >= 0]
-                heads.append([row, ids[i], held[i], len(number), len(hot_), float(log_count[hot_].sum()), 0.0])
-                tails += [(row, w, k) for w, k in Counter(cold).items()]
-                w, y, mask = attention.windows(subwords, cls, starts)
-                for at in range(0, len(w), 4096):
-                    own = at + np.flatnonzero(mask[at : at + 4096].any(axis=1))
-                    parts.append((w[own], y[own], mask[own], np.full(len(own), i)))
-                    cut += len(own)
-                    if cut >= 4096:
+            for i, (ids, starts) in enumerate(_texts(batch)):
+                for one in attention.streams(ids, by_id[ids[starts]], starts, TOGETHER):
+                    parts.append((*one, np.full(int(one[2].sum()), i)))
+                    held += len(one[0])
+                    if held >= TOGETHER:
                         flush()
-                        cut = 0
+                        held = 0
             if parts:
                 flush()
-            columns = list(zip(*heads)) if heads else [[]] * 7
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "fit", "word", "times"]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), pa.nulls(len(heads), pa.binary()), pa.nulls(len(heads), pa.int64())], names)
-            for at in range(0, len(tails), 50_000):
-                r, w, k = zip(*tails[at : at + 50_000])
-                none = [pa.nulls(len(r), t) for t in types[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), *none, pa.array(w, pa.binary()), pa.array(k, pa.int64())], names)
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, fit double, word binary, times long"
-    rows = written(docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text")).mapInArrow(score, schema), "scored")
-    heads = rows.where(F.col("word").isNull()).drop("word", "times")
-    rare = rows.where(F.col("word").isNotNull()).select("row", "word", "times").join(known.where(F.col("c") < least).select("word", "c"), "word")
+            names = ["doc_id", "held_out", "row", "n_tokens", "n_known", "logs"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fit)], [*names, "fit"])
+
+    heads = rows.select("doc_id", "held_out", "row", "n_tokens", "n_known", "logs", "ids", "starts").mapInArrow(
+        score, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, logs double, fit double"
+    )
+    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(known.where(~is_hot).select("word", "c"), "word")
     rare = rare.groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_logs"))
     logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     return heads.join(rare, "row", "left").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 
 import pyarrow as pa
@@ -66,53 +67,123 @@ def base_spans(text: str | None) -> list[Span]:
     return spans
 
 
-_SPELLED = re.compile(r"[0-9a-z._%+-]+ ?[(\[]? ?(?:@|(?<=[ (\[])at(?=[ )\]])) ?[)\]]? ?[0-9a-z-]+(?: ?[(\[]?(?:\.|(?<=[ (\[])dot(?=[ )\]]))[)\]]? ?[0-9a-z-]+)+", re.IGNORECASE)
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters around what the tagger marked in which an address may go on.
+REACH = 200
+_HEAD = re.compile(r"[0-9a-z._%+-]+ ?[(\[]? ?(?P<at>@|(?<=[ (\[])at(?=[ )\]])) ?[)\]]? ?[0-9a-z-]+(?= ?[(\[]?(?:\.|(?<=[ (\[])dot(?=[ )\]]))[)\]]? ?[0-9a-z-])", re.IGNORECASE)
+_TIGHT = re.compile(r"\.[0-9a-z-]+", re.IGNORECASE)
+_LOOSE = re.compile(r" ?[(\[]?(?:\.|(?<=[ (\[])dot(?=[ )\]]))[)\]]? ?[0-9a-z-]+", re.IGNORECASE)
+_BREAK = re.compile(r"[^\W\d_]|\n")
+_DOTS = re.compile(r"(?i)(?<![a-z])dot(?![a-z])")
 
 
-def plausible(kind: int, part: str) -> bool:
-    """Whether what the tagger marked can be of its kind at all."""
-    numbers = _NUMBER.findall(part)
-    if "\n" in part:
-        return False
+def _address(text: str, a: int, b: int) -> Span | None:
+    """The address, spelled out or not, whose at sign lies in text[a:b]: from the first
+    character of its local part, over all domain parts that follow closely, and over looser
+    ones that begin before b."""
+    low = max(0, a - REACH)
+    part = text[low : b + REACH]
+    for m in _HEAD.finditer(part):
+        if not a <= low + m.start("at") < b:
+            continue
+        end = m.end()
+        while more := _TIGHT.match(part, end) or (_LOOSE.match(part, end) if end == m.end() or b - low > end + 1 else None):
+            end = more.end()
+        return (0, low + m.start(), low + end)
+    return None
+
+
+def _is_ip(part: str, numbers: list[str]) -> bool:
+    return len(numbers) == 4 and all(map(_byte, numbers)) and not _BREAK.search(_DOTS.sub("", part))
+
+
+def _is_number(part: str, numbers: list[str]) -> bool:
+    return not _BREAK.search(part) and _is_card(part)
+
+
+def _is_phone(part: str, numbers: list[str]) -> bool:
+    return not _BREAK.search(part) and 9 <= _n_digits(part) <= 15 and (part[0] in "+(0" or len(numbers) >= 3) and len(numbers) <= 6 and max(map(len, numbers)) <= 12
+
+
+_CHECKS = {1: (_is_ip, 4), 2: (_is_number, 19), 3: (_is_phone, 6)}
+
+
+def settled(kind: int, text: str, a: int, b: int) -> Span | None:
+    """What the tagger marked as text[a:b], mended at its edges, or None if it cannot be of
+    its kind at all. An address reaches as far as its form does; of the numbers marked, whole
+    ones, the longest run counts that is of the kind, the first of equally long ones."""
     if kind == 0:
-        return bool(_SPELLED.fullmatch(part)) and ("@" in part or "." in part or any(c in part for c in "[(") or part.lower().count(" dot ") >= 1)
-    if kind == 1:
-        return len(numbers) == 4 and all(map(_byte, numbers)) and not _LETTER.search(re.sub(r"(?i)\bdot\b", "", part))
-    if _LETTER.search(part):
-        return False
-    if kind == 2:
-        return _is_card(part)
-    return 9 <= _n_digits(part) <= 15 and (part[0] in "+(" or len(numbers) >= 3) and len(numbers) <= 6 and max(map(len, numbers)) <= 12
-
-
-def all_spans(texts: list[str | None], model: tagger.Tagger) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text. All spans are the base ones and the tagger's
-    plausible ones that meet none of them; by kind, then start."""
+        return _address(text, a, b)
+    if not _NUMBER.search(text, a, b):
+        return None
+    while a > 0 and text[a - 1] in "0123456789":
+        a -= 1
+    while b < len(text) and text[b] in "0123456789":
+        b += 1
+    at, (check, most), best = [m.span() for m in _NUMBER.finditer(text, a, b)], _CHECKS[kind], None
+    for i, (first, _) in enumerate(at):
+        if kind == 3:
+            first -= first > 0 and text[first - 1] in "+("
+        for _, last in at[i : i + most]:
+            if (best is None or last - first > best[2] - best[1]) and check(part := text[first:last], _NUMBER.findall(part)):
+                best = (kind, first, last)
+    return best
+
+
+def all_spans(texts: list[str | None], model: tagger.Tagger, every: bool = False) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text. All spans are the base ones and the tagger's,
+    settled, that reach beyond the base ones they meet; by kind, then start. every: decode
+    all windows, not only those in which a span can be; the result is the same."""
     texts = [t or "" for t in texts]
     got = []
-    for text, more in zip(texts, tagger.found_in(model, texts)):
+    for text, more in zip(texts, tagger.found_in(model, texts, settled, every)):
         base = base_spans(text)
-        more = [s for s in more if plausible(s[0], text[s[1] : s[2]])]
         if base and more:
-            edges = sorted((a, b) for _, a, b in base)
-            more = [s for s in more if not any(a < s[2] and s[1] < b for a, b in edges)]
+            more = [s for s in more if not _covered(base, s)]
         got.append((base, sorted(base + more)))
     return got
 
 
+def _covered(base: list[Span], span: Span) -> bool:
+    """Whether base spans, taken together, hold all of a span."""
+    at = span[1]
+    for _, a, b in sorted((s for s in base if s[1] < span[2] and span[1] < s[2]), key=lambda s: s[1]):
+        if a > at:
+            return False
+        at = max(at, b)
+    return at >= span[2]
+
+
 def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+_models: dict[int, tagger.Tagger] = {}
+
+
+def trained(spark, seed: int = tagger.SEED) -> tagger.Tagger:
+    """The tagger, trained once a process in one task of its own; the same on every run."""
+    if seed not in _models:
+        ship(spark)
+
+        def run(batches):
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tagger.trained(seed).w)], pa.binary())], ["w"])
+
+        raw = spark.range(0, 1, 1, 1).mapInArrow(run, "w binary").first()["w"]
+        _models[seed] = tagger.Tagger(seed)
+        _models[seed].w = pickle.loads(bytes(raw))
+    return _models[seed]
+
+
 def marked(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs(doc_id, text).
 
     Counts and base_sha256 are of the pattern matches; spans lists all spans, those of the
-    tagger added. Null texts count as empty and have no spans. Rows with a null doc_id and
-    repeated rows each give a row. An empty table gives an empty result."""
+    tagger added. Null texts count as empty and have no spans. Very long texts are decoded
+    window by window, some thousands at a time. Rows with a null doc_id and repeated rows
+    each give a row. An empty table gives an empty result."""
     ship(docs.sparkSession)
-    weights = docs.sparkSession.sparkContext.broadcast(tagger.trained())  # a fixed size
+    weights = docs.sparkSession.sparkContext.broadcast(trained(docs.sparkSession))  # a fixed size
 
     def run(batches):
         for batch in batches:
@@ -141,7 +212,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with personal data replaced by the names of its kinds
     and n_chars, where there is one, the new length. Null texts stay null."""
     ship(docs.sparkSession)
-    weights = docs.sparkSession.sparkContext.broadcast(tagger.trained())
+    weights = docs.sparkSession.sparkContext.broadcast(trained(docs.sparkSession))
     names = docs.columns
 
     def run(batches):

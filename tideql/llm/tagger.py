@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -14,8 +15,8 @@ TAGS = 1 + 2 * len(KINDS)
 HIDDEN = 20
 #: Windows overlap by half: any span of up to OVERLAP characters lies whole in one.
 WIDTH, OVERLAP = 96, 48
-#: Training texts and steps, their batch, and windows decoded at once.
-TEXTS, STEPS, BATCH, CHUNK = 3000, 320, 48, 512
+#: Training texts and steps, their batch, windows decoded at once, and the seed of it all.
+TEXTS, STEPS, BATCH, CHUNK, SEED = 4000, 420, 48, 512, 11
 
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz @.-_+()[]{}:/,;#*%&|<>=\n\"'"
 PAD, DIGIT, UPPER, LETTER, OTHER = range(len(_SYMBOLS), len(_SYMBOLS) + 5)
@@ -233,7 +234,7 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
 
 @functools.lru_cache(1)
-def trained(seed: int = 11) -> Tagger:
+def trained(seed: int = SEED) -> Tagger:
     """A tagger learnt from TEXTS made-up texts and their spans; the same on every run."""
     rng, tagger = random.Random(seed), Tagger(seed)
     ids, tags = np.full((TEXTS, WIDTH), PAD, np.uint8), np.zeros((TEXTS, WIDTH), np.int64)
@@ -261,20 +262,26 @@ def trained(seed: int = 11) -> Tagger:
     return tagger
 
 
-#: Every plausible span has a digit, an at sign, or an "at" in brackets or spaces that a word
-#: and a dot, plain or spelled out, come after; windows without any are not looked at.
-TRIGGER = re.compile(r"[0-9@]|(?<![a-z])dot(?![a-z])|(?<=[ (\[])at(?=[ )\]])(?= ?[)\]]? ?[0-9a-z-]+ ?[(\[]?(?:\.|(?<=[ (\[])dot(?=[ )\]])))", re.IGNORECASE)
+#: Every span that can be settled holds a digit, an at sign, or an "at" in brackets or spaces
+#: that a word and a dot, plain or spelled out, come after. Windows without any need no look.
+TRIGGER = re.compile(r"[0-9@]|(?<=[ (\[])at(?=[ )\]])(?= ?[)\]]? ?[0-9a-z-]+ ?[(\[]?(?:\.|(?<=[ (\[])dot(?=[ )\]])))", re.IGNORECASE)
+
+
+def as_marked(kind: int, text: str, a: int, b: int):
+    return kind, a, b
 
 
 def found(tagger: Tagger, text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) in a whole text. Windows that overlap by half are decoded, then
-    reconciled over the text: of spans that overlap, that which lies farther from the edges
-    of its window stays, then the longer, then the earlier."""
+    """(kind, start, end) in a whole text, as marked. Windows that overlap by half are decoded,
+    then reconciled over the text: of spans that overlap, that which lies farther from the
+    edges of its window stays, then the longer, then the earlier."""
     return found_in(tagger, [text])[0]
 
 
-def found_in(tagger: Tagger, texts: list[str], together: int = 4 * CHUNK) -> list[list[tuple[int, int, int]]]:
-    """found() of many texts: their windows are decoded together, a bounded number at once."""
+def found_in(tagger: Tagger, texts: list[str], settle=as_marked, every: bool = False, together: int = 4 * CHUNK) -> list[list[tuple[int, int, int]]]:
+    """found() of many texts: their windows are decoded together, a bounded number at once.
+    Each marked span is settled before spans are reconciled; None drops it. Windows without
+    a TRIGGER are left out, unless every one is wanted."""
     offers: list[list] = [[] for _ in texts]
     owner, start, parts = [], [], []
 
@@ -282,14 +289,18 @@ def found_in(tagger: Tagger, texts: list[str], together: int = 4 * CHUNK) -> lis
         tags = tagger.decode(np.stack(parts))
         for row, i, first in zip(tags, owner, start):
             n = len(texts[i])
-            for k, a, b in spans_of(row):
+            for k, a, b in spans_of(row) if row.any() else ():
                 left, right = (a if first else WIDTH), (WIDTH - b if first + WIDTH < n else WIDTH)
-                if b + first <= n:
-                    offers[i].append((-min(left, right, OVERLAP // 2), a - b, first + a, k, first + b))
+                span = settle(k, texts[i], first + a, first + b) if b + first <= n else None
+                if span:
+                    offers[i].append((-min(left, right, OVERLAP // 2), span[1] - span[2], span[1], span[0], span[2]))
         owner.clear(), start.clear(), parts.clear()
 
     for i, text in enumerate(texts):
-        places = sorted({w for m in TRIGGER.finditer(text) for w in (m.start() // OVERLAP - 1, m.start() // OVERLAP) if w >= 0})
+        if every:
+            places = range(max(1, -(-len(text) // OVERLAP)))
+        else:
+            places = sorted({w for m in TRIGGER.finditer(text) for w in (m.start() // OVERLAP - 1, m.start() // OVERLAP) if w >= 0})
         if not places:
             continue
         ids = encoded(text)
@@ -307,8 +318,6 @@ def found_in(tagger: Tagger, texts: list[str], together: int = 4 * CHUNK) -> lis
 
 def reconciled(offers: list) -> list[tuple[int, int, int]]:
     """Spans that do not overlap, the best offers first; offers: (-margin, -length, start, kind, end)."""
-    import bisect
-
     starts: list[int] = []
     taken: list[tuple[int, int, int]] = []
     for _, _, a, k, b in sorted(set(offers)):

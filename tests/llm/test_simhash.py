@@ -101,3 +101,38 @@ def test_components_of_a_chain(spark):
 def test_forest_of_few(n):
     node, root = simhash.forest(np.zeros(0, int), np.zeros(0, int), n)
     assert len(node) == len(root) == 0
+
+
+@pytest.mark.parametrize("rows,want", [([(2, "B"), (5, "B"), (5, "A")], {(2, "B"), (5, "A")}), ([(5, "A"), (5, "B"), (7, "A")], {(5, "A"), (5, "B")}), ([(1, "A"), (1, "A"), (None, "A")], {(1, "A"), (None, "A")})])
+def test_representatives_lose_no_distinct_text(spark, rows, want):
+    texts = {"A": "one two three four five six", "B": "quite another text with other words"}
+    docs = spark.createDataFrame([(i, texts[t], n, {"k": t}) for n, (i, t) in enumerate(rows)], "doc_id int, text string, n_chars long, more map<string,string>")
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(((i, texts[t]) for i, t in want), key=str)
+
+
+def test_copies_of_one_text_are_not_dealt_to_one_task(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_HOT", 5)
+    rows = [(i, "the same text for all of these") for i in range(40)] + [(100 + i, f"text number {i} of many {i * i}") for i in range(30)] + [(7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).where("fingerprint <> '0000000000000000'").collect()}
+    assert all(got[i] == 0 for i in range(40)) and len(got) == 70
+
+
+def test_fine_tiles_hold_every_link_once():
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**63, 40).astype(np.uint64)
+    near = [f ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for f in fps for a, b in rng.integers(0, 64, (4, 2))]
+    every = np.unique(np.concatenate([fps, np.array(near, np.uint64)])).view(np.int64)
+    tiles = np.unique(simhash._quarters(simhash.bytes_of(every)) @ simhash._RADIX)
+    for split in (tiles[:0], tiles, tiles[::2]):
+        tile, home, value = simhash.visited(every, 2, split)
+        assert home.sum() == len(every)
+        met = {}
+        for t, h, v in zip(tile.tolist(), home.tolist(), value.tolist()):
+            met.setdefault(t, ([], []))[0 if h else 1].append(v)
+        pairs = [tuple(sorted(p)) for homes, others in met.values() for i, x in enumerate(homes) for p in [(x, y) for y in homes[:i]] + [(x, y) for y in others]]
+        assert len(pairs) == len(set(pairs))
+        links = {tuple(sorted((x, y))) for i, y in enumerate(every.tolist()) for x in every[:i].tolist() if bin((x ^ y) & (2**64 - 1)).count("1") <= 2}
+        assert links <= set(pairs) and len(links) > 50

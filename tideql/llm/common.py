@@ -59,7 +59,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     by 3 is not 1. At most `max_rows` labelled ids take part, those with the
     smallest id hashes: a bounded sample, and the same one on every run.
     Ids that are labelled twice count with the smaller label, null labels and ids
-    not at all; of repeated documents one row stays."""
+    not at all; of rows alike in doc_id the one with the least hash of its text stays, and
+    of those the least text."""
     known = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder("doc_id", 3) != 1))
@@ -70,4 +71,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     )
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # at most max_rows pairs of numbers: a proven bound
-    return texts.join(F.broadcast(known), "doc_id")
+    rows = texts.join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"), F.col("y"))).alias("s")).select("doc_id", "s.text", "s.y")

@@ -126,7 +126,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows
 
     ship(docs.sparkSession)
     rows = training_rows(docs, labels, label, max_rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y")
-    rows = rows.mapInArrow(measure, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = rows.mapInArrow(measure, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), N_STATISTICS)
     return Discriminant.fit(x, np.array([r["y"] for r in rows], int))
 

@@ -4,16 +4,17 @@ Fingerprints are compared by numpy exclusive-or and bit counts. A fingerprint's
 tile is the bit counts of its four 16-bit quarters. Fingerprints within the radius
 differ by no more than it in these counts, added up over the quarters, so tile
 pairs beyond that are skipped and no link is lost. Each fingerprint is at home in
-its own tile and visits those tiles above its own within reach; a tile's homes are
-dealt in chunks of at most CHUNK, so that no task holds more homes than that,
-and visitors stream past them. Of each block of comparisons only a spanning forest
-of the links leaves the task, never all pairs.
+its own tile and visits those tiles above its own within reach. A tile with more
+than CHUNK homes is cut in fine ones, by the bit counts of all eight bytes, and what
+visits it goes to those fine tiles only that are within reach; a fine tile with more
+homes than that is dealt in chunks, past each of which its visitors stream. Of each
+block of comparisons only a spanning forest of the links leaves the task, never all
+pairs.
 """
 
 from __future__ import annotations
 
 import functools
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from tideql.llm.components import components
 SHINGLE = 3
 RADIUS = 2
 CHUNK = 4096
+#: A fingerprint is hot that one in HOT rows has, and LEAST_HOT rows.
+HOT, LEAST_HOT = 10_000, 100
 #: Shingles hashed at once: bounds memory for very long texts.
 PIECE = 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -51,32 +54,69 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, carry..., fp): fp is the fingerprint's bits as a signed long; carry: longs."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = fields(batch, "doc_id", "text")
+            texts = fields(batch, "text")[0]
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(fps)], [*names, "fp"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    names = ["doc_id", *carry]
+    return docs.select(*(F.col(n).cast("long").alias(n) for n in names), "text").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
-def tiles_of(fps: np.ndarray) -> np.ndarray:
-    """(n, 4) bit counts of the quarters."""
-    return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint16).reshape(-1, 4)).astype(np.int64)
+def bytes_of(fps: np.ndarray) -> np.ndarray:
+    """(n, 8) bit counts of the bytes."""
+    return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8)).astype(np.int64)
 
 
-@functools.cache
-def _steps(radius: int) -> np.ndarray:
-    """Steps from a tile to those after it, in order, that are within reach."""
-    span = range(-radius, radius + 1)
-    return np.array([s for s in product(span, repeat=4) if sum(map(abs, s)) <= radius and s > (0, 0, 0, 0)], np.int64)
+def _quarters(counts: np.ndarray) -> np.ndarray:
+    return counts[..., ::2] + counts[..., 1::2]
+
 
+_RADIX, _FINE_RADIX = 32 ** np.arange(4)[::-1], 9 ** np.arange(8)[::-1]
+#: Fine tiles are numbered from here; tiles below.
+FINE = 32**4
 
-_RADIX = np.array([32**3, 32**2, 32, 1], np.int64)
+
+@functools.cache
+def _steps(radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Steps from a tile to itself and to those after it, in order, that are within reach;
+    with each the steps of the bytes' counts that make it up. To itself: those to fine
+    tiles not before the own."""
+    span, fine = range(-radius, radius + 1), {}
+    # counted up from no step, a place at a time, so that only steps within reach are made
+    every = [()]
+    for _ in range(8):
+        every = [(*s, x) for s in every for x in span if sum(map(abs, s)) + abs(x) <= radius]
+    for s in every:
+        quarter = tuple(s[i] + s[i + 1] for i in range(0, 8, 2))
+        if quarter > (0,) * 4 or (quarter == (0,) * 4 and s >= (0,) * 8):
+            fine.setdefault(quarter, []).append(s)
+    return [(np.array(q, np.int64), np.array(sorted(f), np.int64)) for q, f in sorted(fine.items())]
+
+
+def visited(fps: np.ndarray, radius: int, split: np.ndarray):
+    """(tile, whether at home there, fingerprint) of each fingerprint's own tile and of those
+    it visits. split: the tiles, in order, that are cut in fine ones."""
+    counts = bytes_of(fps)
+    quarters, out = _quarters(counts), []
+    for step, fine in _steps(radius):
+        dest = quarters + step
+        at = np.flatnonzero(((dest >= 0) & (dest <= 16)).all(axis=1))
+        tile = dest[at] @ _RADIX
+        cut = np.isin(tile, split) if len(split) else np.zeros(len(tile), bool)
+        out.append((tile[~cut], np.full(int((~cut).sum()), not step.any()), fps[at[~cut]]))
+        if cut.any():
+            at = at[cut]
+            for part in fine:
+                dest = counts[at] + part
+                inside = ((dest >= 0) & (dest <= 8)).all(axis=1)
+                out.append((FINE + dest[inside] @ _FINE_RADIX, np.full(int(inside.sum()), not part.any()), fps[at[inside]]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int):
@@ -125,46 +165,40 @@ def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame
     spark = fps.sparkSession
     ship(spark)
 
-    def count(batches):
-        for batch in batches:
-            key = tiles_of(np.asarray(batch.column(0))) @ _RADIX
-            tile, n = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(n.astype(np.int64))], ["tile", "n"])
+    def counted(number):
+        def count(batches):
+            for batch in batches:
+                tile, n = np.unique(number(np.asarray(batch.column(0))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(n.astype(np.int64))], ["tile", "n"])
+
+        # only those over a chunk are gathered: of tiles 17^4 at most, of fine ones one a chunk
+        return fps.mapInArrow(count, "tile long, n long").groupBy("tile").agg(F.sum("n").alias("n")).where(F.col("n") > chunk).orderBy("tile").collect()
+
+    def fine_of(some):
+        counts = bytes_of(some)
+        inside = np.isin(_quarters(counts) @ _RADIX, split)
+        return FINE + counts[inside] @ _FINE_RADIX
 
-    # at most 17^4 tiles, of which only those over a chunk are gathered
-    large = fps.mapInArrow(count, "tile long, n long").groupBy("tile").agg(F.sum("n").alias("n")).where(F.col("n") > chunk)
-    split = {r["tile"]: -(-r["n"] // chunk) for r in large.collect()}
+    fps = fps.where(F.col("fp").isNotNull())
+    split = np.array([r["tile"] for r in counted(lambda some: _quarters(bytes_of(some)) @ _RADIX)], np.int64)
+    parts = {r["tile"]: -(-r["n"] // chunk) for r in counted(fine_of)} if len(split) else {}
 
     def spread(batches):
-        steps = _steps(radius)
         for batch in batches:
             every = np.asarray(batch.column(0))
             for at in range(0, len(every), 20000):
-                fp = every[at : at + 20000]
-                quarters = tiles_of(fp)
-                own = quarters @ _RADIX
-                dest = quarters[:, None, :] + steps[None]
-                inside = ((dest >= 0) & (dest <= 16)).all(axis=2)
-                tile = np.concatenate([own, (dest @ _RADIX)[inside]])
-                home = np.concatenate([np.ones(len(fp), bool), np.zeros(int(inside.sum()), bool)])
-                value = np.concatenate([fp, np.repeat(fp, inside.sum(axis=1))])
+                tile, home, value = visited(every[at : at + 20000], radius, split)
                 part = np.zeros(len(tile), np.int64)
-                if split:
-                    n = np.array([split.get(t, 1) for t in tile.tolist()], np.int64)
+                if parts:
+                    n = np.array([parts.get(t, 1) for t in tile.tolist()], np.int64)
                     mine = ((value.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
-                    part = np.where(home, mine, 0)
-                    # visitors go to every chunk of a split tile, homes also visit the chunks after their own
-                    times = np.where(home, 0, n - 1)
-                    more_at = np.repeat(np.arange(len(tile)), times)
-                    more_part = np.concatenate([np.arange(1, k + 1) for k in times[times > 0]]) if len(more_at) else np.zeros(0, np.int64)
-                    later = np.where(home, n - 1 - mine, 0)
-                    late_at = np.repeat(np.arange(len(tile)), later)
-                    late_part = np.concatenate([np.arange(m + 1, k) for m, k in zip(mine[later > 0], n[later > 0])]) if len(late_at) else np.zeros(0, np.int64)
-                    tile = np.concatenate([tile, tile[more_at], tile[late_at]])
-                    value = np.concatenate([value, value[more_at], value[late_at]])
-                    part = np.concatenate([part, more_part, late_part])
-                    home = np.concatenate([home, np.zeros(len(more_at) + len(late_at), bool)])
-                key = tile * (1 << 40) + part
+                    # visitors go to every chunk of a tile, homes also visit the chunks after their own
+                    first = np.where(home, mine, 0)
+                    times = n - first
+                    part = np.arange(times.sum()) - np.repeat(times.cumsum() - times - first, times)
+                    home = np.repeat(home, times) & (part == np.repeat(first, times))
+                    tile, value = np.repeat(tile, times), np.repeat(value, times)
+                key = tile * (1 << 36) + part
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.where(home, 0, 1).astype(np.int8)), pa.array(value)], ["tile", "visits", "fp"])
 
     def compare(batches):
@@ -202,6 +236,31 @@ def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame
     return rows.mapInArrow(compare, "a long, b long")
 
 
+def _classes(nodes: DataFrame, radius: int) -> DataFrame:
+    """(fp, n, root, component_id) of nodes(fp, least, n): root names the component,
+    component_id is the least id in it."""
+    found = components(links(nodes.select("fp"), radius))
+    linked = nodes.join(found, F.col("fp") == F.col("node"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    inside = linked.select("fp", "root").join(least, "root")
+    return nodes.join(inside, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
+
+
+def _classed(docs: DataFrame, radius: int, *carry: str) -> DataFrame:
+    """(doc_id, carry..., fp, root, component_id) of each row. Classes go back to the rows by
+    fingerprint: those of a fingerprint that one in HOT rows or more has, HOT of them at most,
+    by broadcast, so that no group of copies meets in one task."""
+    rows = written(fingerprints(docs, *carry), "fingerprints")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    classes = written(_classes(nodes, radius), "classes")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    many = F.col("n") * HOT >= max(total, LEAST_HOT * HOT)
+    hot = F.broadcast(classes.where(many).drop("n"))
+    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(classes.where(~many).drop("n"), "fp")
+    names = ["doc_id", *carry, "fp", "root", "component_id"]
+    return rows.join(hot, "fp").select(*names).union(cold.select(*names))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text).
 
@@ -209,26 +268,29 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     links of fingerprints that differ in at most `radius` bits, itself included.
     Exact copies share a fingerprint and meet as one node, so a group of any size
     costs one row. Null texts count as empty; texts without words all have
-    fingerprint zero and link like any other. Rows with a null doc_id take part and
-    get the component's least id that is not null (null if it has none). Repeated
-    rows each give a row. An empty table gives an empty result."""
-    rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), radius))
-    linked = nodes.join(found, F.col("fp") == F.col("node"))
-    root = linked.groupBy("root").agg(F.min("least").alias("component"))
-    inside = linked.select("fp", "root").join(root, "root").select("fp", "component")
-    ids = nodes.join(inside, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fingerprint zero and link like any other; very long texts are hashed a piece at a
+    time. Rows with a null doc_id take part and get the component's least id that is not
+    null (null if it has none). Repeated rows each give a row. An empty table gives an
+    empty result."""
+    return _classed(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, that stand for their group of near-duplicates:
-    those whose doc_id is their component's least, one row if that id is repeated.
-    Rows with a null doc_id cannot be named by a group and stay."""
-    keep = near_duplicates(docs, radius).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__llm_id")).distinct()
-    named = docs.join(keep, F.col("doc_id") == F.col("__llm_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where(F.col("doc_id").isNull()))
+    """The rows of docs, all columns, that stand for their group of near-duplicates, one a
+    group: that with the least doc_id, of several with that id the first by hashes of the
+    text and of the other columns, of rows equal in all these one. So rows alike in doc_id
+    with different texts are each in the group of its own text. Rows with a null doc_id
+    cannot be named by a group and stay. Groups are settled on ids and hashes; the texts are
+    joined with what stays once."""
+    others = [F.col(f.name) for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    keyed = docs.withColumn("__llm_hash", F.xxhash64(F.xxhash64("text"), *others))
+    rows = _classed(keyed.where(F.col("doc_id").isNotNull()), radius, "__llm_hash")
+    # all rows of one document have one key: of equal ones one stays
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "__llm_hash")).alias("s"))
+    keep = first.select(F.col("s.doc_id").alias("__llm_id"), F.col("s.__llm_hash").alias("__llm_key"))
+    same = (F.col("doc_id").cast("long") == F.col("__llm_id")) & (F.col("__llm_hash") == F.col("__llm_key"))
+    named = keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__llm_hash"])
+    return named.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 
 
 def query(spark, sf_dir):

@@ -36,3 +36,16 @@ def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, chat.query(spark, sf).collect())) == plain(rows)
+
+
+def test_work_is_linear_in_turns(spark):
+    import time
+
+    took = []
+    for n in (5_000, 40_000, 80_000):
+        df = spark.range(n).selectExpr("1L conv_id", "id turn", "'user' role", "concat('t', id) text")
+        df = df.union(df.where(f"turn < {n - 1}").selectExpr("2L conv_id", "turn", "role", "text"))
+        began = time.time()
+        assert [(r["conv_id"], r["n_turns"]) for r in chat.collapsed(df).select("conv_id", "n_turns").collect()] == [(1, n)]
+        took.append(time.time() - began)
+    assert took[2] < 2 * took[1] + 1

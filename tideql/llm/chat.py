@@ -7,7 +7,7 @@ drops conversations whose whole key is the key of a longer one's prefix.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideql.llm.common import table, written
@@ -16,18 +16,22 @@ from tideql.llm.common import table, written
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
 
-def _prefix_keys(turns: Column) -> Column:
-    """Keys of the 1st, 2nd, ... prefix: SHA-256 over the key before, the role and the text.
-    Lengths go in, so that no two turns run together; a null differs from an empty text."""
+def _turn_hash(salt: int, place: Column, turn: Column) -> list[Column]:
+    """A hash of a turn and its place, as two numbers of 32 bits. Hashes pass nulls over, so
+    whether there is one goes in."""
+    h = F.xxhash64(F.lit(salt), place, turn["role"].isNull(), turn["role"], turn["text"].isNull(), turn["text"])
+    return [F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1))]
 
-    def part(x):
-        return F.when(x.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x))
 
-    def step(keys, t):
-        before = F.coalesce(F.try_element_at(keys, F.lit(-1)), F.lit(""))
-        return F.concat(keys, F.array(F.sha2(F.concat(before, F.lit("|"), part(t["role"]), F.lit("|"), part(t["text"])), 256)))
-
-    return F.aggregate(turns, F.array().cast("array<string>"), step)
+def prefixes(each: DataFrame) -> DataFrame:
+    """(conv_id, place, key) of every prefix of each(conv_id, turns): the key is the number of
+    turns and the running sums of two 64-bit hashes of turns at their places, each as two
+    halves, so that no sum overflows. One pass over the turns, however many."""
+    rows = each.select("conv_id", F.posexplode("turns").alias("place", "turn"))
+    parts = [h.alias(f"h{2 * salt + i}") for salt in (0, 1) for i, h in enumerate(_turn_hash(salt, F.col("place"), F.col("turn")))]
+    so_far = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("conv_id", "place", *parts)
+    return rows.select("conv_id", "place", F.struct("place", *(F.sum(f"h{i}").over(so_far).alias(f"s{i}") for i in range(4))).alias("key"))
 
 
 def collapsed(turns: DataFrame) -> DataFrame:
@@ -35,13 +39,16 @@ def collapsed(turns: DataFrame) -> DataFrame:
     are not the beginning of a longer one; of equal ones that with the least id.
 
     Turns are ordered by turn (nulls first), then role and text; a turn that is repeated
-    in all of these counts once. Turns with a null conv_id form one conversation.
-    A common first turn is one key among distinct keys, so it makes no large group.
-    An empty table gives an empty result."""
+    in all of these counts once. Turns with a null conv_id form one conversation. A
+    conversation is one row of the result, so one has to fit in memory; the work on it is
+    linear in its turns, but for their sort. Null and empty texts are different turns. A
+    common first turn is one key among distinct keys, so it makes no large group. An empty
+    table gives an empty result."""
     each = turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    each = written(each.select("conv_id", "turns", F.size("turns").alias("n_turns"), _prefix_keys(F.col("turns")).alias("keys")), "conversations")
-    whole = each.select(F.element_at("keys", -1).alias("key"), "conv_id").groupBy("key").agg(F.min(F.struct("conv_id")).alias("c")).select("key", "c.conv_id")
-    shorter = each.select(F.explode(F.slice("keys", 1, F.col("n_turns") - 1)).alias("key")).distinct()
+    each = written(each.select("conv_id", "turns", F.size("turns").alias("n_turns")), "conversations")
+    keys = written(prefixes(each).withColumn("whole", F.lead("place").over(Window.partitionBy("conv_id").orderBy("place")).isNull()), "prefixes")
+    whole = keys.where("whole").groupBy("key").agg(F.min(F.struct("conv_id")).alias("c")).select("key", "c.conv_id")
+    shorter = keys.where("not whole").select("key").distinct()
     kept = whole.join(shorter, "key", "left_anti").select(F.col("conv_id").alias("kept_id"))
     return each.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")), "left_semi").select("conv_id", "n_turns", "turns")
 

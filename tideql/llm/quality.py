@@ -23,7 +23,7 @@ POOL, RIDGE = 0.1, 0.05
 #: Bytes compressed at once.
 BLOCK = 1 << 16
 THRESHOLD = 0.5
-#: Words of evidence at which a text's own statistics weigh as much as the class 1 mean.
+#: Words of evidence at which a text's own statistics weigh as much as the mean of all texts.
 EVIDENCE = 20
 
 _DELETE_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -70,6 +70,13 @@ def statistics(text: str | None) -> list[float]:
 N_STATISTICS = len(statistics(""))
 
 
+def _drawn(z: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scaled statistics z of texts with statistics x, drawn toward the mean of all texts: those
+    of short texts say little. So in fitting as in scoring."""
+    words = np.expm1(x[:, :1])
+    return z * (words / (words + EVIDENCE))
+
+
 @dataclass
 class Discriminant:
     """Class means and Cholesky factors of the inverse class covariances; log_odds adds the prior."""
@@ -89,7 +96,7 @@ class Discriminant:
         d = x.shape[1]
         centre = x.mean(axis=0) if len(x) else np.zeros(d)
         scale = np.maximum(x.std(axis=0), 1e-3) if len(x) else np.ones(d)
-        z, n = (x - centre) / scale, np.array([(y == 0).sum(), (y == 1).sum()])
+        z, n = _drawn((x - centre) / scale, x), np.array([(y == 0).sum(), (y == 1).sum()])
         odds = float(np.log((n[1] + 0.5) / (n[0] + 0.5)))
         if n.min() == 0:
             return cls(centre, scale, np.zeros((2, d)), np.tile(np.eye(d), (2, 1, 1)), np.zeros(2), odds)
@@ -106,10 +113,8 @@ class Discriminant:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1: the prior and half the difference of Mahalanobis distances
-        and log-determinants. Statistics of short texts say little; they are drawn toward the
-        class 1 mean by EVIDENCE words, so a text is rejected on evidence only."""
-        z, words = (x - self.centre) / self.scale, np.expm1(x[:, :1])
-        z = self.means[1] + (z - self.means[1]) * (words / (words + EVIDENCE))
+        and log-determinants."""
+        z = _drawn((x - self.centre) / self.scale, x)
         far = [(((z - self.means[k]) @ self.factors[k].T) ** 2).sum(axis=1) + self.log_dets[k] for k in (0, 1)]
         odds = np.clip(self.log_odds + (far[0] - far[1]) / 2, -500, 500)
         return 1 / (1 + np.exp(-odds))
@@ -148,8 +153,8 @@ def scored(docs: DataFrame, model: Discriminant) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text).
 
-    Null texts count as empty. Rows with a null doc_id are scored like any other and
-    never learnt from. Repeated rows each give a row. Without labels of both classes
+    Null texts count as empty, very long ones are measured whole. Rows with a null doc_id
+    are scored like any other and never learnt from. Repeated rows each give a row. Without labels of both classes
     every score is the smoothed prior. An empty table gives an empty result."""
     model = trained(docs, labels, "quality", max_rows)
     return scored(docs.select("doc_id", "text"), model).select(

@@ -14,7 +14,7 @@ from tideql.llm.common import LOWER, fields, remainder, table, training_rows, wr
 
 #: Labelled documents to learn from at most.
 MAX_ROWS = 20_000
-#: Lengths of the n-grams in bytes, and the log2 of the buckets of each length.
+#: Lengths of the n-grams in characters, and the log2 of the buckets of each length.
 SIZES, BITS = (4, 5, 6, 7, 8, 10), 18
 BUCKETS = len(SIZES) << BITS
 #: Buckets that the linear model keeps, and the documents that a kept one is in at least.
@@ -22,20 +22,22 @@ KEPT, LEAST_DOCS = 4096, 3
 #: Smoothing of the counts, ridge penalty, steps.
 ALPHA, PENALTY, STEPS = 1.0, 1e-4, 200
 THRESHOLD = 0.7
-#: Tasks that count over the bounded sample, and bytes looked at at once.
-TASKS, PIECE = 16, 1 << 20
+#: Tasks that count over the bounded sample, documents of one array of counts, and characters
+#: looked at at once.
+TASKS, COUNTED, PIECE = 16, 65_535, 1 << 20
 
 
 def grams(text: str | None):
-    """Bucket numbers of all n-grams of a text, a piece after another; lower-cased
-    A-Z, white space as one space, one space at either end."""
+    """Bucket numbers of all n-grams of a text's characters, a piece after another;
+    lower-cased A-Z, white space as one space, one space at either end."""
     raw = b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()) + b" "
-    for at in range(0, max(1, len(raw) - max(SIZES) + 1), PIECE):
-        byte = np.frombuffer(raw[at : at + PIECE + max(SIZES) - 1], np.uint8).astype(np.uint32)
-        h, size = byte, 1
+    chars = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, max(1, len(chars) - max(SIZES) + 1), PIECE):
+        part = chars[at : at + PIECE + max(SIZES) - 1]
+        h, size = part, 1
         for k, n in enumerate(SIZES):
             while size < n and len(h) > 1:
-                h = h[:-1] * np.uint32(0x01000193) + byte[size:]
+                h = h[:-1] * np.uint32(0x01000193) + part[size:]
                 size += 1
             if size == n:
                 yield ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)) + np.uint32(k << BITS)
@@ -107,18 +109,25 @@ def fitted(hits: list[np.ndarray], y: np.ndarray, scale: np.ndarray):
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Linear:
     """Learns from at most `max_rows` labelled documents, see training_rows. The driver
-    gets TASKS pairs of count arrays and the kept features of the sample's rows."""
+    gets pairs of count arrays, TASKS and one for each COUNTED rows, and the kept features of the sample's rows."""
     ship(docs.sparkSession)
     rows = training_rows(docs, labels, label, max_rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y")
     sample = written(rows, "labelled").coalesce(TASKS)
 
     def count(batches):
         seen, n = np.zeros((2, BUCKETS), np.uint16), np.zeros(2, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["seen", "n"])
+
         for batch in batches:
             for text, y in zip(*fields(batch, "text", "y")):
                 seen[y, buckets(text)] += 1
                 n[y] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["seen", "n"])
+                if n.sum() == COUNTED:  # no count of 16 bits can be greater
+                    yield out()
+                    seen[:], n[:] = 0, 0
+        yield out()
 
     docs_with, n = np.zeros((2, BUCKETS)), np.zeros(2)
     for r in sample.mapInArrow(count, "seen binary, n binary").toLocalIterator():

@@ -64,7 +64,9 @@ def test_edges_of_the_input(spark):
     docs = [(1, None), (2, ""), (3, passage.upper()), (3, passage.upper()), (None, passage + " x" * 300), (4, " ".join(passage.split()[:12])), (5, f"{passage} y " * 2000)]
     df = spark.createDataFrame([(*d, 1, "z") for d in docs], "doc_id long, text string, n int, items string")
     bench = spark.createDataFrame([(None, passage), (7, passage), (8, None)], "item_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.verdicts(df, bench).collect()}
+    every = decontaminate.verdicts(df, bench).collect()
+    assert len(every) == len(docs)
+    got = {r["doc_id"]: tuple(r)[1:] for r in every}
     ids = hashlib.sha256(b"7").hexdigest()
     assert got[3] == (15, 15, 1, ids, True) and got[None] == (315, 15, 1, ids, False)
     assert got[1] == got[2] == (0, 0, 0, hashlib.sha256(b"").hexdigest(), False) and got[4][1] == 0

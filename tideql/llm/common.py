@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Byte table that lower-cases A-Z only.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Rows of a few numbers each up to which a table is broadcast.
+BROADCAST_ROWS = 1_000_000
 WHITE = r"[\x20\x09-\x0D]+"
 
 

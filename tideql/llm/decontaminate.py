@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideql.llm.common import table, written
+from tideql.llm.common import BROADCAST_ROWS, table, written
 
 WINDOW = 13
 PROBE = 5
@@ -41,11 +41,13 @@ def words(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame) -> DataFrame:
-    """(n, window, items): the distinct windows of all items, each with its items' ids in text order."""
+    """(n, window, items, items_key): the distinct windows of all items, each with its items'
+    ids in text order and the hash of them all."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(WINDOW))
     each = items.select("item", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("at"), "w")
-    return each.groupBy("n", F.slice("w", F.col("at"), F.col("n")).alias("window")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = each.groupBy("n", F.slice("w", F.col("at"), F.col("n")).alias("window")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.withColumn("items_key", F.xxhash64(F.size("items"), "items"))
 
 
 def _hash(kind: int, array, start, length) -> Column:
@@ -72,36 +74,42 @@ def _probes(n: int) -> Column:
     return F.transform(places, probe)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(row key, n_words, hits) for each row of docs(doc_id, text, carry...): hits is an
-    array of (start, n, items), the places from 1 where a benchmark window occurs."""
+def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables. (doc_id, of_text, n_words, times, hits), a row for each kind of equal rows of
+    docs(doc_id, text), of which there are `times`: hits is an array of (start, n, items_key),
+    the places from 1 where a benchmark window occurs. And (items_key, items): the sets of
+    items that share a window, each once, however many windows it shares."""
     windows = written(windows_of(benchmark), "windows")
+    sets = windows.groupBy("items_key").agg(F.first("items").alias("items"))
     seen = windows.agg(F.collect_set("n").alias("ns"), F.sum(F.char_length(F.array_join("window", " "))).alias("chars")).first()
     lengths, small = sorted(seen["ns"]), (seen["chars"] or 0) <= BROADCAST_CHARS * WINDOW
     hint = F.broadcast if small else (lambda df: df)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("of_text"), *carry, words(F.col("text")).alias("w"))
-    mark = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("near")))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("of_text"), words(F.col("text")).alias("w"))
+    # every document sends a mark through, so that one pass over the texts gives documents and
+    # candidates; marks are dealt by the document, not by one hash for all
+    own = F.xxhash64("doc_id", "of_text")
+    mark = F.array(F.struct(F.lit(0).alias("n"), own.alias("h"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("near")))
     probes = [_probes(n) for n in lengths]
-    rows = keyed.select("doc_id", "of_text", *carry, F.size("w").alias("n_words"), F.explode(F.concat(mark, *probes)).alias("p"))
-    rows = rows.select("doc_id", "of_text", *carry, "n_words", "p.n", "p.h", "p.at", "p.near")
-    known = [windows.where(F.col("n") == n).select(F.explode(_parts(n)).alias("h")) for n in lengths]
-    head = rows.where(F.col("n") == 0).select("doc_id", "of_text", *carry, "n_words", F.lit(None).cast("struct<start:int,n:int,items:array<string>>").alias("hit"))
+    rows = keyed.select("doc_id", "of_text", F.size("w").alias("n_words"), F.explode(F.concat(mark, *probes)).alias("p"))
+    rows = rows.select("doc_id", "of_text", "n_words", "p.n", "p.h", "p.at", "p.near")
+    no_hit = F.lit(None).cast("struct<start:int,n:int,items_key:bigint>")
     if not lengths:
-        found = head
+        found = rows.select("doc_id", "of_text", "n_words", "n", no_hit.alias("hit"))
     else:
-        parts = reduce(DataFrame.union, known).union(windows.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("h"))).distinct()
-        # the marks, with hash 0, pass too: one pass over the texts gives both the documents and the candidates
-        near = rows.join(hint(parts), "h", "left_semi")
+        known = [windows.where(F.col("n") == n).select(F.explode(_parts(n)).alias("h")) for n in lengths]
+        parts = reduce(DataFrame.union, known).distinct().withColumn("known", F.lit(True))
+        near = rows.join(hint(parts), "h", "left").where(F.col("known") | (F.col("n") == 0))
         starts = F.sequence(F.lit(1), F.size("near") - F.col("n") + 1)
         cut = F.transform(starts, lambda i: F.struct((F.col("at") + i - 1).alias("start"), F.slice(F.col("near"), i, F.col("n")).alias("window")))
         none = F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("window")))
-        each = near.select("doc_id", "of_text", *carry, "n_words", "n", F.explode(F.when((F.col("n") == 0), none).when(F.size("near") >= F.col("n"), cut)).alias("c"))
-        each = each.select("doc_id", "of_text", *carry, "n_words", "n", "c.start", "c.window", F.xxhash64("c.window").alias("h"))
-        exact = windows.select(F.col("n").alias("n_"), F.col("window").alias("window_"), "items", F.xxhash64("window").alias("h_"))
+        each = near.select("doc_id", "of_text", "n_words", "n", F.explode(F.when((F.col("n") == 0), none).when(F.size("near") >= F.col("n"), cut)).alias("c"))
+        each = each.select("doc_id", "of_text", "n_words", "n", "c.start", "c.window", F.when(F.col("n") == 0, own).otherwise(F.xxhash64("c.window")).alias("h"))
+        exact = windows.select(F.col("n").alias("n_"), F.col("window").alias("window_"), "items_key", F.xxhash64("window").alias("h_"))
         found = each.join(hint(exact), (F.col("h") == F.col("h_")) & (F.col("n") == F.col("n_")) & (F.col("window") == F.col("window_")), "left").select(
-            "doc_id", "of_text", *carry, "n_words", F.when(F.col("items").isNotNull(), F.struct("start", "n", "items")).alias("hit")
+            "doc_id", "of_text", "n_words", "n", F.when(F.col("items_key").isNotNull(), F.struct("start", "n", "items_key")).alias("hit")
         ).where(F.col("hit").isNotNull() | (F.col("n") == 0))
-    return found.groupBy("doc_id", "of_text", *carry).agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"))
+    got = found.groupBy("doc_id", "of_text").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("n") == 0).alias("times"), F.collect_set("hit").alias("hits"))
+    return got, sets
 
 
 def _covered(hits_column: Column) -> Column:
@@ -119,13 +127,18 @@ def _covered(hits_column: Column) -> Column:
 def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each document.
 
-    Null texts have no words and are not contaminated; so are empty ones. Rows with a
-    null doc_id count. Rows alike in doc_id and text give one row. Item ids that are null
-    never show in items, though their windows hit. An empty benchmark hits nothing, an
-    empty table of documents gives an empty result."""
-    got = hits(docs, benchmark)
-    items = F.array_sort(F.array_distinct(F.flatten(F.array_distinct(F.transform("hits", lambda h: h["items"])))))
-    return got.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), _covered(F.col("hits")).alias("n_hit"), items.alias("items")).select(
+    Null texts have no words and are not contaminated; nor are empty ones. Very long texts
+    are scanned whole. Rows with a null doc_id count, repeated rows each give a row. Item
+    ids that are null never show in items, though their windows hit. An empty benchmark
+    hits nothing, an empty table of documents gives an empty result."""
+    got, sets = hits(docs, benchmark)
+    rows = written(got.select("doc_id", "of_text", F.col("n_words").cast("bigint").alias("n_words"), "times", _covered(F.col("hits")).alias("n_hit"), F.array_distinct(F.col("hits.items_key")).alias("keys")), "hits")
+    names = ["doc_id", "of_text", "n_words", "times", "n_hit"]
+    clean = rows.where("n_hit = 0").select(*names, F.array().cast("array<string>").alias("items"))
+    hit = rows.where("n_hit > 0").select(*names, F.explode("keys").alias("items_key")).join(sets, "items_key")
+    hit = hit.groupBy(*names).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    each = clean.union(hit).withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    return each.select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -136,10 +149,12 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated."""
-    got = hits(docs.select("doc_id", "text"), benchmark)
+    """The rows of docs, all columns, that are not contaminated. The contaminated ones' ids and
+    hashes are written first: while they are few, the texts are not shuffled."""
+    got, _ = hits(docs.select("doc_id", "text"), benchmark)
     bad = got.select("doc_id", "of_text", "n_words", _covered(F.col("hits")).alias("n_hit")).where((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
-    bad = bad.select(F.col("doc_id").alias("__llm_id"), F.col("of_text").alias("__llm_text"))
+    bad = written(bad.select(F.col("doc_id").alias("__llm_id"), F.col("of_text").alias("__llm_text")), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__llm_id"]) & (F.xxhash64(docs["text"]) == bad["__llm_text"]), "left_anti")
 
 
@@ -150,7 +165,7 @@ def query(spark, sf_dir):
 
 SQL = r"""
 WITH doc AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
   FROM documents),
 item AS (
   SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
@@ -160,14 +175,14 @@ item_window AS (
   FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos
         FROM (SELECT *, least(len(w), 13) AS n FROM item WHERE len(w) > 0))),
 doc_window AS (
-  SELECT doc_id, n, pos, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS win
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos
+  SELECT r, n, pos, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS pos
         FROM doc, (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n)),
-found AS (SELECT doc_id, pos, d.n, item_id FROM doc_window d JOIN item_window i ON d.n = i.n AND d.win = i.win),
-places AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS pos FROM found) GROUP BY doc_id),
-ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+found AS (SELECT r, pos, d.n, item_id FROM doc_window d JOIN item_window i ON d.n = i.n AND d.win = i.win),
+places AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS pos FROM found) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM found) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM doc LEFT JOIN places USING (doc_id) LEFT JOIN ids USING (doc_id)
+FROM doc LEFT JOIN places USING (r) LEFT JOIN ids USING (r)
 """

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideql.functions.shipping import ship
-from tideql.llm.common import LOWER, fields, partitions, written
+from tideql.llm.common import BROADCAST_ROWS, LOWER, fields, partitions, written
 from tideql.llm.components import components
 
 SHINGLE = 3
@@ -285,12 +285,14 @@ def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     others = [F.col(f.name) for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
     keyed = docs.withColumn("__llm_hash", F.xxhash64(F.xxhash64("text"), *others))
     rows = _classed(keyed.where(F.col("doc_id").isNotNull()), radius, "__llm_hash")
-    # all rows of one document have one key: of equal ones one stays
-    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "__llm_hash")).alias("s"))
-    keep = first.select(F.col("s.doc_id").alias("__llm_id"), F.col("s.__llm_hash").alias("__llm_key"))
+    each = rows.groupBy("root", "doc_id", "__llm_hash").agg(F.count("*").alias("times"))
+    first = each.groupBy("root").agg(F.min(F.struct("doc_id", "__llm_hash", "times")).alias("s"))
+    keep = written(first.select(F.col("s.doc_id").alias("__llm_id"), F.col("s.__llm_hash").alias("__llm_key"), F.col("s.times").alias("__llm_times")), "keep")
     same = (F.col("doc_id").cast("long") == F.col("__llm_id")) & (F.col("__llm_hash") == F.col("__llm_key"))
-    named = keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__llm_hash"])
-    return named.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    named = keyed.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, same)
+    alone = named.where(F.col("__llm_times") == 1).select(*docs.columns)
+    equal = named.where(F.col("__llm_times") > 1).dropDuplicates(["doc_id", "__llm_hash"]).select(*docs.columns)
+    return alone.union(equal).union(docs.where(F.col("doc_id").isNull()))
 
 
 def query(spark, sf_dir):

@@ -15,6 +15,31 @@ def test_rejected(query):
         parse(query)
 
 
+# pattern, values it holds for, values it does not
+REGEXES = [
+    (r"(?P<x_1>b)", ["b"], ["B", "bb"]), (r"(?<x>b)c", ["bc"], ["b"]), (r"b(?i)c", ["bc", "bC"], ["Bc"]), (r"(?i)é", ["É", "é"], ["e"]), (r"(?i:a)b", ["Ab"], ["AB"]),
+    (r"\w+", ["aé_1"], ["a-b"]), (r"\d", ["7", "٣"], ["x"]), (r"\u{e9}|\x41", ["é", "A"], ["B"]), (r"\Aab\z", ["ab"], ["abc"]), (r"\p{L}+", ["aß"], ["1"]),
+    (r"a|b", ["a", "b"], ["ab"]), (r"a.c", ["abc", "a\rc"], ["a\nc"]), (r"(?s)a.c", ["a\nc"], ["ac"]), (r"[a-z&&[^b]]", ["a"], ["b"]), (r"\v", ["\x0b"], ["\n"]), (r"[*+?]+", ["*+"], ["a"]), (r"", [""], ["x"]),
+]
+BAD_REGEXES = [r"(?=x)", r"(?<!x)y", r"(x)\1", r"a)|(?:b", r"(", r"[a", r"a++", r"(?>a)", r"\Qa\E", r"(?a)x", r"(?U)x", r"\h", r"\R", r"\Z", r"\k<x>", r"*a", r"a{2,1}", r"\p{Nothing}"]
+
+
+def test_regular_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from tideql.functions.labels import label_map, matched
+
+    values = sorted({v for _, yes, no in REGEXES for v in yes + no})
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", F.lit("m").alias("metric"), label_map(a=F.col("v")).alias("labels"))
+    for pattern, yes, no in REGEXES:
+        got = {r["v"] for r in rows.where(matched(Selector(None, (Matcher("a", "=~", pattern),)))).collect()}
+        assert set(yes) <= got and not set(no) & got, pattern
+        assert parse(f"{{a=~'{pattern.replace(chr(92), chr(92) * 2)}'}}").matchers[0].value == pattern
+    for pattern in BAD_REGEXES:
+        with pytest.raises(BadQuery):
+            parse(f"{{a=~'{pattern.replace(chr(92), chr(92) * 2)}'}}")
+
+
 def test_accepted_forms():
     x = Selector("x")
     assert parse("x") == x and parse("Inf") == Selector("Inf") and parse("{}") == parse("{ }") == Selector()

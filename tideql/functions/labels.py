@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tideql.plans.language import NAME, Selector
+from tideql.plans.language import NAME, Selector, jvm_regex
 
 
 def label_key(labels: Column) -> Column:
@@ -32,13 +32,14 @@ def label_map(**values: Column | str) -> Column:
 
 def matched(selector: Selector, metric: str = "metric", labels: str = "labels") -> Column:
     """The predicate of a selector. An absent label matches as the empty text; regular
-    expressions hold for the whole value, and a dot stands for all but a line feed."""
+    expressions hold for the whole value, a dot stands for all but a line feed, and classes
+    of characters go beyond ASCII."""
     parts = [F.col(metric) == selector.name] if selector.name is not None else []
     for m in selector.matchers:
         value = F.col(metric) if m.label == NAME else F.coalesce(F.col(labels)[m.label], F.lit(""))
         if m.op in ("=", "!="):
             test = value == m.value
         else:
-            test = value.rlike(rf"(?d)\A(?:{m.value})\z")
+            test = value.rlike(rf"(?dU)\A(?:{jvm_regex(m.value)})\z")
         parts.append(test if m.op in ("=", "=~") else ~test)
     return reduce(Column.__and__, parts, F.lit(True))

@@ -30,10 +30,25 @@ SUMMARY = (
 )
 
 
-def decoded(rows: DataFrame, column: str, schema: str) -> DataFrame:
-    """rows with the document in a text column read by a schema, in place. A text that is no
-    such document gives null."""
-    return rows.withColumn(column, F.from_json(column, schema))
+def _any(items: str, test: str) -> str:
+    return f"exists(coalesce({items}, array()), x -> {test})"
+
+
+# fixed values: the fields that a document of each kind must have; what it lacks may be told by nulls else
+_LACKS = {
+    NODES: _any("doc.items", "x.metadata is null"),
+    PODS: " or ".join([_any("doc.items", "x.metadata is null"), _any("flatten(doc.items.spec.containers)", "x.name is null"), _any("flatten(doc.items.status.containerStatuses)", "x.name is null")]),
+    SUMMARY: f"doc.node is null or {_any('doc.pods', 'x.podRef is null')}",
+}
+
+
+def decoded(rows: DataFrame, schema: str) -> DataFrame:
+    """rows with the document in the text column doc read by a schema, in place. A text that
+    is no JSON, has a field of another kind, or lacks a field it must have, gives null."""
+    names = [n for n in rows.columns if n != "doc"]
+    got = rows.select(*names, F.from_json("doc", f"{schema}, wrong string", {"columnNameOfCorruptRecord": "wrong"}).alias("doc"))
+    bad = F.expr(f"doc is null or doc.wrong is not null or coalesce({_LACKS[schema]}, false)")
+    return got.withColumn("doc", F.when(~bad, F.col("doc").dropFields("wrong")))
 
 
 def _samples(rows: DataFrame, place: Column, *made: tuple[str, dict, Column]) -> DataFrame:
@@ -67,9 +82,10 @@ def collected(nodes: DataFrame, pods: DataFrame, summaries: DataFrame, t: int, j
     """(metric, labels, lkey, t, v): the samples of one pass, all at the second t.
 
     nodes(doc), pods(doc): node and pod lists as text; summaries(node, doc): each node's
-    summary, null where the node did not answer, which gives it `up` 0 and nothing else.
+    summary, null where the node did not answer. That, or an answer that is no summary, gives
+    the node `up` 0 and nothing else.
     Of samples alike in metric and labels the first of the documents counts."""
-    nodes, pods, summaries = decoded(nodes, "doc", NODES), decoded(pods, "doc", PODS), decoded(summaries, "doc", SUMMARY)
+    nodes, pods, summaries = decoded(nodes, NODES), decoded(pods, PODS), decoded(summaries, SUMMARY)
     parts = []
     pod = pods.select(F.posexplode("doc.items").alias("i", "p")).select("i", "p.*")
     box = pod.select("i", "metadata", "spec.nodeName", F.posexplode("spec.containers").alias("j", "c"))
@@ -135,7 +151,7 @@ def collected(nodes: DataFrame, pods: DataFrame, summaries: DataFrame, t: int, j
 def unnamed(pods: DataFrame, summaries: DataFrame) -> DataFrame:
     """(namespace, pod, container) that run but whose image the pod list does not tell: a
     sign that the list held is out of date."""
-    known = images(decoded(pods, "doc", PODS)).where("image <> ''")
-    seen = decoded(summaries, "doc", SUMMARY).select(F.explode("doc.pods").alias("p")).select("p.podRef", F.explode("p.containers").alias("c"))
+    known = images(decoded(pods, PODS)).where("image <> ''")
+    seen = decoded(summaries, SUMMARY).select(F.explode("doc.pods").alias("p")).select("p.podRef", F.explode("p.containers").alias("c"))
     seen = seen.select(F.col("podRef.namespace").alias("namespace"), F.col("podRef.name").alias("pod"), F.col("c.name").alias("container"))
     return seen.join(known, ["namespace", "pod", "container"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import ssl
 import urllib.error
@@ -71,6 +72,21 @@ class Client:
             raise OSError(f"GET {path} returned {e.code}: {e.read().decode('utf-8', 'replace').strip()}") from e
 
 
+class BadDocument(ValueError):
+    """An answer that is not the document asked for."""
+
+
+def listed(text: str, path: str) -> list[dict]:
+    """The items of a list document, each of which must have metadata."""
+    try:
+        items = json.loads(text).get("items", [])
+        if not all(isinstance(x["metadata"], dict) for x in items):
+            raise TypeError("metadata is no object")
+    except (ValueError, TypeError, KeyError, AttributeError) as e:
+        raise BadDocument(f"decoding {path}: {e!r}") from e
+    return items
+
+
 @dataclass
 class Pods:
     """The pod list held between passes."""
@@ -85,12 +101,14 @@ class Pods:
         return self.text is None or self.stale or now - self.at >= self.every
 
     def current(self, client, now: int) -> str:
-        """The list, fetched anew if it is due. A fetch that fails keeps the list held; with
-        none held it fails the pass."""
+        """The list, fetched anew if it is due. A fetch that fails, or gives no list, keeps the
+        list held; with none held it fails the pass."""
         if self.due(now):
             try:
-                self.text, self.at, self.stale = client.get(PODS_PATH), now, False
-            except OSError as e:
+                text = client.get(PODS_PATH)
+                listed(text, PODS_PATH)
+                self.text, self.at, self.stale = text, now, False
+            except (OSError, BadDocument) as e:
                 if self.text is None:
                     raise
                 self.failures.append(str(e))
@@ -98,16 +116,14 @@ class Pods:
 
 
 def documents(spark: SparkSession, client, pods: Pods, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, pods, summaries) of one pass, for collected(). Without the node list the pass
-    fails; a node that does not answer has a null summary and costs the others nothing.
+    """(nodes, pods, summaries) of one pass, for collected(). Without the node list, or with
+    an answer that is none, the pass fails; a node that does not answer has a null summary and costs the others nothing.
     A node's name is all that the driver reads of the documents."""
-    import json
-
     nodes = client.get(NODES_PATH)
+    names = [str(x["metadata"].get("name", "")) for x in listed(nodes, NODES_PATH)]
     held = pods.current(client, now)
     answers = []
-    for item in json.loads(nodes).get("items") or []:
-        name = item["metadata"]["name"]
+    for name in names:
         try:
             answers.append((name, client.get(SUMMARY_PATH.format(node=name))))
         except OSError:

@@ -71,6 +71,45 @@ def test_passes_prunes_and_failures(spark, tmp_path):
     assert both.rows.count() == 22
 
 
+def test_bad_answers_and_the_cadence_of_snapshots(spark, tmp_path):
+    class Raw(Fake):
+        raw = {}
+
+        def get(self, path):
+            return self.raw.get(path) or super().get(path)
+
+    fake, path = Raw(), tmp_path / "s"
+    c = Collector(spark, fake, poll.Config(retention_seconds=1000, snapshot_seconds=100), str(path), now=1000)
+    snapshots = lambda: sorted(p.name for p in path.iterdir() if p.name.startswith("snapshot-")) if path.exists() else []
+    fake.raw = {poll.NODES_PATH: "<html>"}
+    c.tick(1000)
+    assert discovery.stats(c.store).first()["samples"] == 0 and snapshots() == []
+    fake.raw = {poll.PODS_PATH: "<html>"}
+    c.tick(1010)  # no pod list is held yet
+    assert discovery.stats(c.store).first()["samples"] == 0
+    fake.raw = {poll.SUMMARY_PATH.format(node="n1"): "<html>"}
+    c.tick(1020)
+    assert {r["v"] for r in instant(c.store, "up", 1020).collect()} == {0.0} and snapshots() == []
+    fake.raw = {poll.PODS_PATH: '{"items": [{}]}'}
+    c.pods.stale = True
+    c.tick(1030)  # the list held goes on
+    n = discovery.stats(c.store).first()["samples"]
+    assert c.pods.failures and n > 20 and snapshots() == []
+    c.tick(1100)
+    assert len(snapshots()) == 1 and discovery.stats(c.store).first()["samples"] > n
+    c.tick(1150)
+    assert len(snapshots()) == 1
+    c.tick(1200)
+    c.tick(1300)
+    assert len(snapshots()) == 2  # the current one and the one before
+    total = discovery.stats(c.store).first()["samples"]
+    c.stop()
+    assert c.run(5, clock=lambda: 1310.0, sleep=lambda s: None) is c.store
+    again = Collector(spark, fake, poll.Config(retention_seconds=1000), str(path), now=1310)
+    assert discovery.stats(again.store).first()["samples"] == total
+    assert [p.name for p in path.iterdir() if p.name.startswith("tail-")] == []
+
+
 def varint(n):
     out = b""
     while n > 127:

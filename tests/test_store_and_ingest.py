@@ -113,6 +113,35 @@ def test_cluster_documents(spark):
     assert [tuple(r) for r in unnamed(text(PODS), summaries).collect()] == [("ns", "p", "new")]
 
 
+def test_documents_that_are_none(spark):
+    text = lambda d: spark.createDataFrame([(d if isinstance(d, str) else json.dumps(d),)], "doc string")
+    wrong = ["<html>gateway error</html>", "", "[]", "3", "null", "{}", {"node": None}, {"node": 3}, {"node": {}, "pods": [{"containers": []}]}, {"node": {"fs": {"usedBytes": "x"}}}, {"node": {}, "pods": {}}, '{"node": {}']
+    nodes = {"items": [{"metadata": {"name": f"n{i}"}} for i in range(len(wrong) + 1)]}
+    answers = [(f"n{i}", d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate([*wrong, {"node": {}}])]
+    rows = collected(text(nodes), text("{}"), spark.createDataFrame(answers, "node string, doc string"), 5).collect()
+    assert sorted((r["metric"], r["labels"]["instance"], r["v"]) for r in rows) == sorted([("kubelet_running_pods", f"n{len(wrong)}", 0.0)] + [("up", f"n{i}", float(i == len(wrong))) for i in range(len(wrong) + 1)])
+    for bad in ("<html>", {"items": [{}]}, {"items": [{"metadata": {"name": "p"}, "spec": {"containers": [{"image": "x"}]}}]}):
+        assert collected(text("{}"), text(bad), spark.createDataFrame(answers[:0], "node string, doc string"), 5).count() == 0
+
+
+def test_matchers_go_through_the_series(spark, tmp_path, monkeypatch):
+    from tideql.plans.language import parse
+    from tideql.sources import store
+
+    rows = [(m, {"k": str(k)} | ({"x": "y"} if k % 2 else {}), t, float(k)) for m in ("a", "b") for k in range(30) for t in range(0, 50, 10) if not (m == "b" and k > 20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    store.save(df, str(tmp_path / "s"))
+    held, flat = store.Store(spark, str(tmp_path / "s")), Samples(df)
+    for few in (1000, 2, 0):
+        monkeypatch.setattr(store, "FEW_SERIES", few)
+        for q in ('a{k="7"}', '{k=~"1.*"}', 'b{x!="y"}', '{k="25"}', 'a{k="none"}', '{__name__=~"a|b",x="y"}', "{}", "a"):
+            one, two = (sorted((r["metric"], r["lkey"], r["t"], r["v"]) for r in s.select(parse(q), 10, 30).collect()) for s in (held, flat))
+            assert one == two, (few, q)
+    monkeypatch.setattr(store, "FEW_SERIES", 1000)
+    plan = held.select(parse('a{k="7"}'), 10, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "lkey" in plan[plan.index("PushedFilters") :] and "PartitionFilters: [" in plan
+
+
 def test_the_stream_guard_is_the_batch_guard(spark, tmp_path):
     rng = random.Random(4)
     rows = [("m", {"k": str(rng.randrange(4))}, rng.randrange(200) + i, float(i), i) for i in range(400)]

@@ -8,6 +8,7 @@ the last snapshot as it was.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from tideql.functions.labels import label_key, matched
 from tideql.operators.series import retained, series_of
 from tideql.plans.language import Selector
 
+#: Series up to which a selector's keys go into the scan as a list.
+FEW_SERIES = 1000
 SAMPLES = "metric string, lkey string, labels map<string,string>, t bigint, v double"
 
 
@@ -24,6 +27,19 @@ class CorruptSnapshot(ValueError):
     """The pointer or what it names cannot be read."""
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Unset: a
+    new temporary folder, in local mode only."""
+    conf = spark.sparkContext.getConf()
+    path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="tideql-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,6 +68,16 @@ def save(samples: DataFrame, path: str) -> str:
     return f"{path}/{name}"
 
 
+def swept(spark: SparkSession, path: str, *keep: str) -> None:
+    """Deletes the snapshots and tails under path but those kept, by their directories."""
+    fs, Path = _fs(spark, path)
+    names = {k.rstrip("/").rsplit("/", 1)[-1] for k in keep}
+    for status in fs.listStatus(Path(path)):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith(("snapshot-", "tail-")) and name not in names:
+            fs.delete(status.getPath(), True)
+
+
 def _overwrite(spark: SparkSession):
     kind = spark.sparkContext._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
     chosen = next(o for o in kind.getEnumConstants() if o.name() == "OVERWRITE")
@@ -81,8 +107,21 @@ class Store:
             self.rows = retained(self.rows, now, retention)
 
     def select(self, selector: Selector, low: int, high: int) -> DataFrame:
-        """The metric prunes directories, t row groups; label matchers hold on each sample."""
-        return self.rows.where(matched(selector) & (F.col("t") >= low) & (F.col("t") <= high))
+        """The metric prunes directories, t row groups. Label matchers hold on the small table of
+        series; the keys it gives prune row groups while they are few, or else join."""
+        rows = self.rows.where((F.col("t") >= low) & (F.col("t") <= high))
+        if not selector.matchers:
+            return rows.where(matched(selector))
+        keys = self._series.where(matched(selector) & (F.col("last_t") >= low) & (F.col("first_t") <= high)).select("metric", "lkey")
+        few = keys.limit(FEW_SERIES + 1).collect()
+        if len(few) <= FEW_SERIES:
+            metrics, each = sorted({r["metric"] for r in few}), sorted({r["lkey"] for r in few})
+            # a key that another metric has too is told apart by the exact pairs
+            rows = rows.where(F.col("metric").isin(metrics) & F.col("lkey").isin(each))
+            return rows if len(few) == len(metrics) * len(each) else rows.join(F.broadcast(keys), ["metric", "lkey"], "left_semi").select(*self.rows.columns)
+        if selector.name is not None:
+            rows = rows.where(F.col("metric") == selector.name)
+        return rows.join(keys, ["metric", "lkey"], "left_semi").select(*self.rows.columns)
 
     def series(self) -> DataFrame:
         """From the small table; counts and first times from the samples where a cutoff cuts."""

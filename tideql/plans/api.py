@@ -13,6 +13,16 @@ from tideql.plans import compiler, discovery
 from tideql.plans.language import NAME, BadQuery
 
 MOST_POINTS = 11_000
+#: Series, names, values or sets that one answer holds at most; beyond it the answer is an error.
+MOST_ROWS = 50_000
+
+
+def _bounded(rows) -> list:
+    """Rows for one answer; so many go to the driver at most."""
+    got = rows.limit(MOST_ROWS + 1).collect()
+    if len(got) > MOST_ROWS:
+        raise BadQuery(f"exceeded maximum of {MOST_ROWS} series or labels in an answer")
+    return got
 
 
 def _good(data) -> tuple[int, dict]:
@@ -40,7 +50,7 @@ def query(store, params: dict, now: int | None = None) -> tuple[int, dict]:
     got = compiler.instant(store, params.get("query", ""), at)
     if isinstance(got, float):
         return _good({"resultType": "scalar", "result": [at, value_text(got)]})
-    return _good({"resultType": "vector", "result": [{"metric": r["labels"], "value": [at, value_text(r["v"])]} for r in got.collect()]})
+    return _good({"resultType": "vector", "result": [{"metric": r["labels"], "value": [at, value_text(r["v"])]} for r in _bounded(got)]})
 
 
 @_answered
@@ -54,7 +64,7 @@ def query_range(store, params: dict, now: int | None = None) -> tuple[int, dict]
         compiler.parse(params.get("query", ""))
         return _bad("start is after end" if start > end else f"exceeded maximum resolution of {MOST_POINTS} points per timeseries")
     points = rows.groupBy("lkey").agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("t", "v"))).alias("points"))
-    return _good({"resultType": "matrix", "result": [{"metric": r["labels"], "values": [[p["t"], value_text(p["v"])] for p in r["points"]]} for r in points.orderBy("lkey").collect()]})
+    return _good({"resultType": "matrix", "result": [{"metric": r["labels"], "values": [[p["t"], value_text(p["v"])] for p in r["points"]]} for r in _bounded(points.orderBy("lkey"))]})
 
 
 def _window(pairs: list[tuple[str, str]]):
@@ -65,17 +75,17 @@ def _window(pairs: list[tuple[str, str]]):
 
 @_answered
 def labels(store, pairs) -> tuple[int, dict]:
-    return _good([r[0] for r in discovery.names(store, *_window(pairs)).collect()])
+    return _good([r[0] for r in _bounded(discovery.names(store, *_window(pairs)))])
 
 
 @_answered
 def label_values(store, name: str, pairs) -> tuple[int, dict]:
-    return _good([r[0] for r in discovery.values(store, name, *_window(pairs)).collect()])
+    return _good([r[0] for r in _bounded(discovery.values(store, name, *_window(pairs)))])
 
 
 @_answered
 def series(store, pairs) -> tuple[int, dict]:
-    return _good([{NAME: r["metric"], **r["labels"]} for r in discovery.sets(store, *_window(pairs)).collect()])
+    return _good([{NAME: r["metric"], **r["labels"]} for r in _bounded(discovery.sets(store, *_window(pairs)))])
 
 
 def metadata() -> tuple[int, dict]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from tideql.operators.series import accepted, retained, series_of
 from tideql.plans import discovery
 from tideql.plans.compiler import Samples, instant, over_range
 from tideql.sources import adapters
+from tideql.sources.cluster import collected
+from tideql.sources.store import Store, save, shared_dir
 
 JAN, FEB = 1704067200, 1706659200
-SHIP = (694224000, 915148800)  # 1992-01-01, 1999-01-01
+SHIP = (788918400, 1009843200)  # 1995-01-01, 2002-01-01: the whole of the tables
 DAY = 86400
 AT = SHIP[0] + 1500 * DAY
 
@@ -230,6 +234,69 @@ _add(
 )
 
 
+_ALIVE = "n_nationkey % 5 > 1"
+
+
+def _cluster(spark, sf_dir):
+    """Documents of a cluster made of nations and suppliers: each nation is a node; of five one
+    does not answer and one answers with what is no summary. Suppliers are pods of their
+    nation's node, whose list tells the image of some, and an empty text of others."""
+    nation, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "supplier"))
+    name, pod = F.struct(F.col("n_name").alias("name")), F.struct(F.col("s_name").alias("name"), F.concat(F.lit("ns"), "s_nationkey").alias("namespace"))
+    nodes = nation.agg(F.to_json(F.struct(F.collect_list(F.struct(name.alias("metadata"))).alias("items"))).alias("doc"))
+    image = F.concat(F.lit("asked:"), F.col("s_suppkey") % 7)
+    told = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("told:"), "s_suppkey")).when(F.col("s_suppkey") % 3 == 1, "")
+    asks = F.struct(F.array(F.struct(F.lit("main").alias("name"), image.alias("image"))).alias("containers"))
+    tells = F.struct(F.array(F.struct(F.lit("main").alias("name"), told.alias("image"))).alias("containerStatuses"))
+    pods = supplier.agg(F.to_json(F.struct(F.collect_list(F.struct(pod.alias("metadata"), asks.alias("spec"), tells.alias("status"))).alias("items"))).alias("doc"))
+    box = [F.struct(F.lit(c).alias("name"), F.struct((F.col("s_suppkey") + n).alias("usageBytes")).alias("memory")) for n, c in enumerate(("main", "side"))]
+    runs = supplier.select(F.col("s_nationkey").alias("n_nationkey"), F.struct(pod.alias("podRef"), F.array(*box).alias("containers")).alias("p"))
+    runs = runs.groupBy("n_nationkey").agg(F.collect_list("p").alias("pods"))
+    right = F.to_json(F.struct(F.struct().alias("node"), F.coalesce("pods", F.array()).alias("pods")))
+    doc = F.when(F.col("n_nationkey") % 5 == 0, F.lit(None)).when(F.col("n_nationkey") % 5 == 1, F.lit("<html>gateway error</html>")).otherwise(right)
+    return nodes, pods, nation.join(runs, "n_nationkey", "left").select(F.col("n_name").alias("node"), doc.alias("doc"))
+
+
+def _collected(metric: str, *labels: str):
+    def run(spark, sf_dir):
+        rows = collected(*_cluster(spark, sf_dir), AT).where(F.col("metric") == metric)
+        return rows.select(*(F.col("labels")[n].alias(n) for n in labels), "t", "v")
+
+    return run
+
+
+_add("ingest_up", _collected("up", "instance", "job"), f"SELECT n_name AS instance, 'tideql' AS job, {AT}::BIGINT AS t, CASE WHEN {_ALIVE} THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM nation")
+_add(
+    "ingest_container_image_join",
+    _collected("container_memory_working_set_bytes", "namespace", "pod", "container", "image", "instance"),
+    f"""SELECT 'ns' || s_nationkey AS namespace, s_name AS pod, c AS container,
+      CASE WHEN c = 'side' THEN 'unknown' WHEN s_suppkey % 3 = 0 THEN 'told:' || s_suppkey ELSE 'asked:' || s_suppkey % 7 END AS image,
+      n_name AS instance, {AT}::BIGINT AS t, (s_suppkey + CASE WHEN c = 'side' THEN 1 ELSE 0 END)::DOUBLE AS v
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey, (SELECT unnest(['main', 'side']) AS c) WHERE {_ALIVE}""",
+)
+
+
+def _stored(query: str, start: int, end: int, step: int, *labels: str):
+    """Over a store written in the session's shared folder, once a session and table."""
+
+    def run(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _STORES:
+            _STORES[key] = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+            save(accepted(adapters.event_gauge_user(spark, sf_dir)), _STORES[key])
+        return _flat(over_range(Store(spark, _STORES[key]), query, start, end, step), *labels)
+
+    return run
+
+
+_STORES: dict = {}
+_add(
+    "store_matched_series",
+    _stored('event_value_by_user{event_type="click",user_id=~"1.*"}', JAN, FEB, 600, "user_id"),
+    _rounded(_as_of(f"SELECT * FROM ({_guarded('user')}) WHERE event_type = 'click' AND user_id LIKE '1%'", "user_id", JAN, FEB, 600), "user_id"),
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["sum_by_one"](spark, sf_dir)
 

@@ -134,7 +134,7 @@ def _by_group(group: np.ndarray):
 
 def _norm(x: np.ndarray) -> float:
     """Greatest length of the last axis' vectors."""
-    return float(np.sqrt((x * x).sum(axis=-1).max())) if x.size else 0.0
+    return float(np.sqrt(np.einsum("...i,...i->...", x, x).max())) if x.size else 0.0
 
 
 class Scorer:
@@ -168,7 +168,8 @@ class Scorer:
             x += self.ask_place[every]
             kv = self.tell.take(w, axis=0)
             kv += self.tell_place
-            score = _exponents(x[:, :, DIM:] @ kv[:, :, :DIM].transpose(0, 2, 1), _BEFORE[every], self.safe)
+            score = x[:, :, DIM:] @ np.ascontiguousarray(kv[:, :, :DIM].transpose(0, 2, 1))
+            score = _exponents(score, _BEFORE.take(every, axis=0), self.safe)
             seen = score @ kv[:, :, DIM:]
             seen /= (score @ _ONES[:WIDTH])[:, :, None]
             seen += x[:, :, :DIM]
@@ -195,13 +196,15 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, mas
     x += m["p"]
     flat = x.reshape(-1, DIM)
     wq, wkv = m["q"] * s, np.concatenate([m["k"], m["v"]], axis=1)
-    kv = (flat @ wkv).reshape(*ids.shape, 2 * DIM)
-    k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+    k, v = (flat @ m["k"]).reshape(x.shape), (flat @ m["v"]).reshape(x.shape)
     late = x[np.arange(len(ids))[:, None], every]
     q = late @ wq
-    a = _exponents(q @ k.transpose(0, 2, 1), _BEFORE[every].astype(x.dtype), _norm(q) * _norm(k) <= SAFE)
-    a /= (a @ _ONES[:WIDTH].astype(x.dtype))[:, :, None]
+    # a: weights that are not yet shares; what they add up to divides the smaller o and do
+    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    a = _exponents(a, _BEFORE.take(every, axis=0).astype(x.dtype, copy=False), _norm(q) * _norm(k) <= SAFE)
+    total = (a @ _ONES[:WIDTH].astype(x.dtype))[:, :, None]
     o = a @ v
+    o /= total
     own_o = o[row, rank]
     h = late[row, rank] + own_o @ m["o"]
     group, member = np.divmod(target[mask].astype(np.int64), MEMBERS)
@@ -214,24 +217,27 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, mas
     g = {"g": h.T @ z, "gb": z.sum(axis=0), "u": np.zeros_like(m["u"]), "b": np.zeros_like(m["b"])}
     dh = z @ m["g"].T
     order, runs = _by_group(group)
+    by_group, member = h[order], member[order]
+    z, back = m["b"].take(group[order], axis=0), np.empty_like(by_group)
     for j, first, last in runs:
-        at = order[first:last]
-        part = h[at]
-        z = part @ m["u"][j]
-        z += m["b"][j]
-        loss += _fit(z, member[at], safe).sum()
-        z[np.arange(len(z)), member[at]] -= 1
-        z /= z.dtype.type(n)
-        g["u"][j], g["b"][j] = part.T @ z, z.sum(axis=0)
-        dh[at] += z @ m["u"][j].T
+        z[first:last] += by_group[first:last] @ m["u"][j]
+    loss += _fit(z, member, safe).sum()
+    z[np.arange(len(z)), member] -= 1
+    z /= z.dtype.type(n)
+    for j, first, last in runs:
+        part = z[first:last]
+        g["u"][j], g["b"][j] = by_group[first:last].T @ part, part.sum(axis=0)
+        np.matmul(part, m["u"][j].T, out=back[first:last])
+    dh[order] += back
     g["o"] = own_o.T @ dh
     do = np.zeros_like(o)
     do[row, rank] = dh @ m["o"].T
-    da = do @ v.transpose(0, 2, 1)
-    da -= (do * o).sum(axis=2, keepdims=True)
+    do /= total
+    da = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    da -= np.einsum("ijk,ijk->ij", do, o)[:, :, None]
     da *= a
     dq = da @ k
-    d = np.empty_like(kv)
+    d = np.empty((*ids.shape, 2 * DIM), x.dtype)
     np.matmul(da.transpose(0, 2, 1), q, out=d[:, :, :DIM])
     np.matmul(a.transpose(0, 2, 1), do, out=d[:, :, DIM:])
     d = d.reshape(-1, 2 * DIM)

@@ -15,6 +15,8 @@ TAGS = 1 + 2 * len(KINDS)
 HIDDEN = 20
 #: Windows overlap by half: any span of up to OVERLAP characters lies whole in one.
 WIDTH, OVERLAP = 96, 48
+#: An address that ends so close to its window's end counts as cut by it.
+CUT = 2
 #: Training texts and steps, their batch, windows decoded at once, and the seed of it all.
 TEXTS, STEPS, BATCH, CHUNK, SEED = 4000, 420, 48, 512, 11
 
@@ -280,9 +282,10 @@ def found(tagger: Tagger, text: str) -> list[tuple[int, int, int]]:
 
 def found_in(tagger: Tagger, texts: list[str], settle=as_marked, every: bool = False, together: int = 4 * CHUNK) -> list[list[tuple[int, int, int]]]:
     """found() of many texts: their windows are decoded together, a bounded number at once.
-    Each marked span is settled before spans are reconciled; None drops it. Windows without
-    a TRIGGER are left out, unless every one is wanted."""
-    offers: list[list] = [[] for _ in texts]
+    Each marked span is settled before spans are reconciled; None drops it. An address that its
+    window's end cuts goes on as the next window marks it. Windows without a TRIGGER, other
+    than those next to one with an address's, are left out, unless every one is wanted."""
+    marks: list[list] = [[] for _ in texts]
     owner, start, parts = [], [], []
 
     def flush():
@@ -291,16 +294,17 @@ def found_in(tagger: Tagger, texts: list[str], settle=as_marked, every: bool = F
             n = len(texts[i])
             for k, a, b in spans_of(row) if row.any() else ():
                 left, right = (a if first else WIDTH), (WIDTH - b if first + WIDTH < n else WIDTH)
-                span = settle(k, texts[i], first + a, first + b) if b + first <= n else None
-                if span:
-                    offers[i].append((-min(left, right, OVERLAP // 2), span[1] - span[2], span[1], span[0], span[2]))
+                if b + first <= n:
+                    marks[i].append((k, first + a, first + b, min(left, right, OVERLAP // 2), first))
         owner.clear(), start.clear(), parts.clear()
 
     for i, text in enumerate(texts):
+        n = max(1, -(-len(text) // OVERLAP))
         if every:
-            places = range(max(1, -(-len(text) // OVERLAP)))
+            places = range(n)
         else:
-            places = sorted({w for m in TRIGGER.finditer(text) for w in (m.start() // OVERLAP - 1, m.start() // OVERLAP) if w >= 0})
+            near = {(m.start() // OVERLAP, m[0].isdigit()) for m in TRIGGER.finditer(text)}
+            places = sorted({w for x, digit in near for w in range(x - 1, x + 1 if digit else x + 2) if 0 <= w < n})
         if not places:
             continue
         ids = encoded(text)
@@ -313,9 +317,30 @@ def found_in(tagger: Tagger, texts: list[str], settle=as_marked, every: bool = F
                 flush()
     if parts:
         flush()
+    offers: list[list] = [[] for _ in texts]
+    for i, mine in enumerate(marks):
+        for at, (k, a, b, margin, _) in enumerate(mine):
+            span = settle(k, texts[i], a, b)
+            if span and k == 0 and (end := joined(mine, at)) > b:
+                span = settle(k, texts[i], a, end)
+            if span:
+                offers[i].append((-margin, span[1] - span[2], span[1], span[0], span[2]))
     return [reconciled(x) for x in offers]
 
 
+def joined(marks: list[tuple[int, int, int, int, int]], at: int) -> int:
+    """Where an address ends that its window's end cuts: where the next window's mark of an
+    address does that holds the cut. marks: (kind, start, end, margin, window's start)."""
+    _, _, b, _, first = marks[at]
+    if first + WIDTH - b <= CUT:
+        for k, a2, b2, _, other in marks[at + 1 :]:
+            if other > first + OVERLAP:
+                break
+            if k == 0 and other > first and a2 < b < b2:
+                return b2
+    return b
+
+
 def reconciled(offers: list) -> list[tuple[int, int, int]]:
     """Spans that do not overlap, the best offers first; offers: (-margin, -length, start, kind, end)."""
     starts: list[int] = []

@@ -1,4 +1,7 @@
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -202,3 +205,61 @@ def test_every_training_document_trains_the_attention(spark, monkeypatch):
     learnt = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
     lm.scored(spark.createDataFrame([(learnt, "one text")], "doc_id long, text string")).collect()
     assert sum(seen) >= 1
+
+
+ODD = [None, b"", b" ", b"\xff\xfe a\xc3 b", "a\u00a0b a\u3000 x\u2028y \x1cq \x85 z".encode(), b"x" * 5000 + b" foo", "東京都".encode() * 300, b"A\x0bB\x0cC\x1fD's 'll 12345 don't\n\n\t$%", "é \u0301 \u200d a\u200b".encode(), b"b"]
+
+
+@pytest.mark.parametrize("hot", [[], [b"a", b"b", b" ", b"x" * 64]])
+def test_many_texts_are_read_as_each_alone(hot):
+    with open(lm.VOCABULARY, "rb") as f:
+        raw = f.read()
+    reader, one = lm.Reader(raw, hot), lm.pieces_of(raw)
+    words, code, number, n, ids, each = reader.many(ODD)
+    assert list(lm._together([b"ab", None, b"c", b"d" * 9, b""], 3)) == [(0, 3), (3, 4), (4, 5)] and list(lm._together([])) == []
+    want = [w for t in ODD for w in lm.tokens_of(t)]
+    assert n.tolist() == [len(lm.tokens_of(t)) for t in ODD]
+    assert words.take(lm.pa.array(code)).to_pylist() == want and len(set(words.to_pylist()[:-1])) == len(words) - 1
+    assert number.tolist() == [hot.index(w) if w in hot else -1 for w in want]
+    want = [[lm.END_ID] if w == lm.END else one(w) for w in want]
+    assert each.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_large_scores_are_shifted_and_unused_vectors_do_not_matter():
+    rng, model = np.random.default_rng(3), rough(3)
+    tokens, classes = rng.integers(0, 999, 100).astype(np.uint16), rng.integers(0, attention.CLASSES, 100)
+    one = next(attention.streams(tokens, classes))
+    asked = []
+    model["e"][60_000] = 1e6  # in no text
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(attention, "_mild", lambda z, real=attention._mild: asked.append(real(z)) or asked[-1])
+        got = attention.Scorer(model)(*one)
+    assert asked and all(asked)
+    assert got == pytest.approx([plain_log10(model, tokens[:t], classes[t])[0] for t in range(100)], abs=1e-4)
+    for k in "qgu":
+        model[k] *= 30
+    got = attention.Scorer(model)(*one)
+    assert np.isfinite(got).all()
+    assert got == pytest.approx([plain_log10(model, tokens[:t], classes[t])[0] for t in range(100)], rel=1e-2, abs=1e-2)
+    _, g = attention.gradients(model, *attention.windows(tokens, classes))
+    assert all(np.isfinite(x).all() for k, x in g.items() if k != "e") and np.isfinite(g["e"][1]).all()
+
+
+def test_freed_memory_stays_with_a_worker():
+    code = """
+import resource
+import numpy as np
+from tideql.llm import common
+if hasattr(common, "keep_memory"):
+    common.keep_memory()
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for i in range(40):
+    if i == 20:
+        before = faults()
+    arrays = [np.ones(1 << 17) for _ in range(20)]
+    del arrays
+print((faults() - before) // 20)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(got.stdout) < 200  # pages a round, of 5,120

@@ -20,9 +20,12 @@ CLASSES = GROUPS * MEMBERS
 IDS, START = 65_535, 65_535
 CONTEXT = BLOCK = 40
 WIDTH, DIM = CONTEXT + BLOCK, 16
-#: Windows in one forward pass, in one training step, and kept for training at once; batches
-#: whose windows are sorted by their numbers of words, so that little is filled up.
-CHUNK, BATCH, HELD, SORTED = 128, 128, 1 << 15, 8
+#: Windows in one training step, and kept for training at once; batches whose windows are
+#: sorted by their numbers of words, so that little is filled up.
+BATCH, HELD, SORTED = 128, 1 << 15, 8
+#: Windows whose attention is worked out at once, and words whose classes are: what they need
+#: stays in a core's cache.
+SMALL, ROWS = 32, 1 << 12
 #: A task's first EARLY windows go in batches of LITTLE.
 EARLY, LITTLE = 4096, 16
 RATE, DECAY = 0.01, 0.01
@@ -104,9 +107,14 @@ def _asked(mask: np.ndarray):
     return row, place, rank, every
 
 
-def _exponents(score: np.ndarray, before: np.ndarray, safe: bool) -> np.ndarray:
-    """exp of the scores of what lies before, else 0; in place. Unsafe ones are shifted."""
-    if not safe:
+def _mild(z: np.ndarray) -> bool:
+    """Whether exponents of all of z, and their sums, can do without a shift."""
+    return not z.size or bool(z.max() <= SAFE and z.min() >= -SAFE)
+
+
+def _exponents(score: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """exp of the scores of what lies before, else 0; in place. Large ones are shifted."""
+    if not _mild(score):
         score -= np.where(before > 0, score, -np.inf).max(axis=2, keepdims=True)
         np.minimum(score, 0, out=score)
     np.exp(score, out=score)
@@ -114,14 +122,17 @@ def _exponents(score: np.ndarray, before: np.ndarray, safe: bool) -> np.ndarray:
     return score
 
 
-def _fit(z: np.ndarray, y: np.ndarray, safe: bool) -> np.ndarray:
-    """Log of the softmax of z at y; leaves in z the softmax."""
-    if not safe:
+def _fit(z: np.ndarray, y: np.ndarray, n: int = 0) -> np.ndarray:
+    """Log of the softmax of z at y; for n > 0 leaves in z the gradient of minus their sum over n."""
+    if not _mild(z):
         z -= z.max(axis=1, keepdims=True)
-    fit = z[np.arange(len(z)), y]
+    at = np.arange(len(z))
+    fit = z[at, y]
     np.exp(z, out=z)
     total = z @ _ONES[: z.shape[1]].astype(z.dtype)
-    z /= total[:, None]
+    if n:
+        z *= (1 / (total * z.dtype.type(n)))[:, None]
+        z[at, y] -= z.dtype.type(1 / n)
     return fit - np.log(total)
 
 
@@ -132,11 +143,6 @@ def _by_group(group: np.ndarray):
     return order, [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())) if a < b]
 
 
-def _norm(x: np.ndarray) -> float:
-    """Greatest length of the last axis' vectors."""
-    return float(np.sqrt(np.einsum("...i,...i->...", x, x).max())) if x.size else 0.0
-
-
 class Scorer:
     """Log10 probabilities of the words of streams; per-id and per-place products are made once."""
 
@@ -146,9 +152,7 @@ class Scorer:
         tells = lambda x: np.concatenate([x @ model["k"], x @ out], axis=1)
         e, p = model["e"], model["p"]
         self.ask, self.ask_place, self.tell, self.tell_place = asks(e), asks(p), tells(e), tells(p)
-        self.safe = (_norm(self.ask[:, DIM:]) + _norm(self.ask_place[:, DIM:])) * (_norm(self.tell[:, :DIM]) + _norm(self.tell_place[:, :DIM])) <= SAFE
         self.g, self.gb, self.u, self.b = (model[k] for k in ("g", "gb", "u", "b"))
-        self.steep, self.bias = max(_norm(self.g.T), _norm(self.u.transpose(0, 2, 1))), max(np.abs(self.gb).max(), np.abs(self.b).max())
 
     def __call__(self, inputs: np.ndarray, target: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """For streams one after another; one number for each place of the mask, in order."""
@@ -159,8 +163,8 @@ class Scorer:
         view = np.lib.stride_tricks.sliding_window_view(inputs, WIDTH)[::BLOCK]
         by_count = np.argsort(count, kind="stable")
         by_count = by_count[count[by_count] > 0]
-        for i in range(0, len(by_count), CHUNK):
-            at = by_count[i : i + CHUNK]
+        for i in range(0, len(by_count), SMALL):
+            at = by_count[i : i + SMALL]
             w = view[at]
             row, place, rank, every = _asked(own[at])
             every += CONTEXT
@@ -169,21 +173,24 @@ class Scorer:
             kv = self.tell.take(w, axis=0)
             kv += self.tell_place
             score = x[:, :, DIM:] @ np.ascontiguousarray(kv[:, :, :DIM].transpose(0, 2, 1))
-            score = _exponents(score, _BEFORE.take(every, axis=0), self.safe)
+            score = _exponents(score, _BEFORE.take(every, axis=0))
             seen = score @ kv[:, :, DIM:]
             seen /= (score @ _ONES[:WIDTH])[:, :, None]
             seen += x[:, :, :DIM]
             h[first[at[row]] + rank] = seen[row, rank]
-        safe = _norm(h) * self.steep + self.bias <= SAFE
         group, member = np.divmod(y.astype(np.int64), MEMBERS)
         got = np.empty(len(y))
-        for i in range(0, len(y), 1 << 14):
-            got[i : i + (1 << 14)] = _fit(h[i : i + (1 << 14)] @ self.g + self.gb, group[i : i + (1 << 14)], safe)
+        for i in range(0, len(y), ROWS):
+            z = h[i : i + ROWS] @ self.g
+            z += self.gb
+            got[i : i + ROWS] = _fit(z, group[i : i + ROWS])
         order, runs = _by_group(group)
         for g, a, b in runs:
-            for c in range(a, b, 1 << 14):
-                at = order[c : min(b, c + (1 << 14))]
-                got[at] += _fit(h[at] @ self.u[g] + self.b[g], member[at], safe)
+            for c in range(a, b, ROWS):
+                at = order[c : min(b, c + ROWS)]
+                z = h.take(at, axis=0) @ self.u[g]
+                z += self.b[g]
+                got[at] += _fit(z, member[at])
         return got / np.log(10)
 
 
@@ -191,62 +198,68 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, mas
     """(mean loss in nats, its gradients) over the words of windows. The gradient of the
     ids' vectors is (ids seen, their rows)."""
     n, s = max(1, int(mask.sum())), m["q"].dtype.type(DIM**-0.5)
-    row, place, rank, every = _asked(mask)
-    x = m["e"].take(ids, axis=0)
-    x += m["p"]
-    flat = x.reshape(-1, DIM)
-    wq, wkv = m["q"] * s, np.concatenate([m["k"], m["v"]], axis=1)
-    k, v = (flat @ m["k"]).reshape(x.shape), (flat @ m["v"]).reshape(x.shape)
-    late = x[np.arange(len(ids))[:, None], every]
-    q = late @ wq
-    # a: weights that are not yet shares; what they add up to divides the smaller o and do
-    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-    a = _exponents(a, _BEFORE.take(every, axis=0).astype(x.dtype, copy=False), _norm(q) * _norm(k) <= SAFE)
-    total = (a @ _ONES[:WIDTH].astype(x.dtype))[:, :, None]
-    o = a @ v
-    o /= total
-    own_o = o[row, rank]
-    h = late[row, rank] + own_o @ m["o"]
+    wq, wkv_t = m["q"] * s, np.concatenate([m["k"].T, m["v"].T])
+    kept, late_own, o_own = [], [], []
+    for i in range(0, len(ids), SMALL):
+        row, place, rank, every = _asked(mask[i : i + SMALL])
+        x = m["e"].take(ids[i : i + SMALL], axis=0)
+        x += m["p"]
+        kv_t = wkv_t @ x.transpose(0, 2, 1)
+        kv = kv_t.transpose(0, 2, 1)
+        late = x[np.arange(len(x))[:, None], every]
+        q = (late.reshape(-1, DIM) @ wq).reshape(late.shape)
+        # a: weights that are not yet shares; what they add up to divides the smaller o and do
+        a = q @ kv_t[:, :DIM]
+        a = _exponents(a, _BEFORE.take(every, axis=0).astype(x.dtype, copy=False))
+        total = (a @ _ONES[:WIDTH].astype(x.dtype))[:, :, None]
+        o = a @ kv[:, :, DIM:]
+        o /= total
+        late_own.append(late[row, rank])
+        o_own.append(o[row, rank])
+        kept.append((row, place, rank, x, kv, kv_t, q, a, total, o))
+    late, own_o = np.concatenate(late_own), np.concatenate(o_own)
+    h = late + own_o @ m["o"]
     group, member = np.divmod(target[mask].astype(np.int64), MEMBERS)
-    safe = _norm(h) * max(_norm(m["g"].T), _norm(m["u"].transpose(0, 2, 1))) + max(np.abs(m["gb"]).max(), np.abs(m["b"]).max()) <= SAFE
     z = h @ m["g"]
     z += m["gb"]
-    loss = _fit(z, group, safe).sum()
-    z[np.arange(len(z)), group] -= 1
-    z /= z.dtype.type(n)
+    loss = _fit(z, group, n).sum()
     g = {"g": h.T @ z, "gb": z.sum(axis=0), "u": np.zeros_like(m["u"]), "b": np.zeros_like(m["b"])}
     dh = z @ m["g"].T
     order, runs = _by_group(group)
     by_group, member = h[order], member[order]
-    z, back = m["b"].take(group[order], axis=0), np.empty_like(by_group)
+    z, back = np.empty((len(h), MEMBERS), h.dtype), np.empty_like(by_group)
     for j, first, last in runs:
-        z[first:last] += by_group[first:last] @ m["u"][j]
-    loss += _fit(z, member, safe).sum()
-    z[np.arange(len(z)), member] -= 1
-    z /= z.dtype.type(n)
+        part = z[first:last]
+        np.matmul(by_group[first:last], m["u"][j], out=part)
+        part += m["b"][j]
+    loss += _fit(z, member, n).sum()
     for j, first, last in runs:
         part = z[first:last]
         g["u"][j], g["b"][j] = by_group[first:last].T @ part, part.sum(axis=0)
         np.matmul(part, m["u"][j].T, out=back[first:last])
     dh[order] += back
     g["o"] = own_o.T @ dh
-    do = np.zeros_like(o)
-    do[row, rank] = dh @ m["o"].T
-    do /= total
-    da = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
-    da -= np.einsum("ijk,ijk->ij", do, o)[:, :, None]
-    da *= a
-    dq = da @ k
-    d = np.empty((*ids.shape, 2 * DIM), x.dtype)
-    np.matmul(da.transpose(0, 2, 1), q, out=d[:, :, :DIM])
-    np.matmul(a.transpose(0, 2, 1), do, out=d[:, :, DIM:])
-    d = d.reshape(-1, 2 * DIM)
-    dwkv = flat.T @ d
-    own_dq = dq[row, rank]
-    g["q"], g["k"], g["v"] = late[row, rank].T @ own_dq * s, dwkv[:, :DIM], dwkv[:, DIM:]
-    dx = d @ wkv.T
-    dx.reshape(x.shape)[row, place] += dh + own_dq @ wq.T
-    g["p"] = dx.reshape(x.shape).sum(axis=0)
+    do_own, own_dq, dx_all = dh @ m["o"].T, np.empty_like(dh), np.empty((*ids.shape, DIM), h.dtype)
+    dwkv_t, at = np.zeros_like(wkv_t), 0
+    for i, (row, place, rank, x, kv, kv_t, q, a, total, o) in zip(range(0, len(ids), SMALL), kept):
+        own = slice(at, at + len(row))
+        at += len(row)
+        do = np.zeros_like(o)
+        do[row, rank] = do_own[own]
+        do /= total
+        da = do @ kv_t[:, DIM:]
+        da -= np.einsum("ijk,ijk->ij", do, o)[:, :, None]
+        da *= a
+        own_dq[own] = (da @ kv[:, :, :DIM])[row, rank]
+        d_t = np.empty_like(kv_t)
+        np.matmul(q.transpose(0, 2, 1), da, out=d_t[:, :DIM])
+        np.matmul(do.transpose(0, 2, 1), a, out=d_t[:, DIM:])
+        dwkv_t += (d_t @ x).sum(axis=0)
+        dx = dx_all[i : i + SMALL]
+        np.matmul(d_t.transpose(0, 2, 1), wkv_t, out=dx)
+        dx[row, place] += dh[own] + own_dq[own] @ wq.T
+    g["q"], g["k"], g["v"] = late.T @ own_dq * s, dwkv_t[:DIM].T, dwkv_t[DIM:].T
+    g["p"], dx = dx_all.sum(axis=0), dx_all.reshape(-1, DIM)
     by_id = np.argsort(ids, axis=None, kind="stable")
     each = ids.ravel()[by_id]
     first = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))

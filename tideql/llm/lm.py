@@ -13,23 +13,23 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideql.functions.shipping import ship
 from tideql.llm import attention
-from tideql.llm.common import LOWER, fields, remainder, table, written
+from tideql.llm.common import LOWER, fields, keep_memory, remainder, table, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Words whose counts are broadcast, at most: those with at least some power of two of
-#: training tokens, the least that so many words reach. All other counts meet by a join.
-HOT = 200_000
+#: Words whose counts are broadcast, at most: those of at least some level, the least that no
+#: more words reach. A level is LEVELS times the binary logarithm of a word's training tokens,
+#: rounded down. All other counts meet by a join.
+HOT, LEVELS = 200_000, 8
 #: Rounds of training on all executors at once, the steps' sizes in each, the windows that
 #: one task of a round trains on, and the sets of weights that are added up in one task.
 ROUNDS, RATES, TASK_WINDOWS, FAN = 3, (1.0, 0.6, 0.3), 1 << 16, 8
@@ -37,12 +37,12 @@ ROUNDS, RATES, TASK_WINDOWS, FAN = 3, (1.0, 0.6, 0.3), 1 << 16, 8
 TOGETHER = 1 << 17
 #: Characters of a word that the tokenizer gets at once: its time is not linear in their number.
 STRETCH = 1024
-#: Words up to so many bytes are remembered.
+#: Words up to so many bytes may be hot.
 SHORT = 64
 #: The end of a text as a token: no word holds a space.
 END = b" "
-#: Distinct words that a task counts or remembers at once.
-HELD = 300_000
+#: Words that the tokenizer gets at once, and bytes of texts that are split together.
+HELD, HELD_BYTES = 100_000, 1 << 23
 REST_CLASS, END_CLASS = attention.CLASSES - 2, attention.CLASSES - 1
 OTHER_LEAD = -1
 #: What stands for the end of a text, and for a word without ids, among the positions.
@@ -71,22 +71,37 @@ def pieces_of(raw: bytes):
     return pieces
 
 
-def lead_of(raw: bytes):
-    """A function from a word's bytes to its first subword id, remembering bounded numbers of words."""
-    pieces = pieces_of(raw)
-    known: dict[bytes, int] = {}
+class Pieces:
+    """All subword ids of many words at once."""
+
+    def __init__(self, raw: bytes):
+        self.encoding, self.one = _encoding(hashlib.sha256(raw).hexdigest()[:16], raw), pieces_of(raw)
+        #: Whether an id's bytes begin with a space: only the first of a word's do.
+        self.first = np.array([self.encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(self.encoding.n_vocab)])
+
+    def __call__(self, words: pa.Array):
+        """(ids one after another, their number for each word) of a binary array. The words go
+        to the tokenizer as one text, which it cuts before each space; long words, and those
+        with other white space, at which it does not cut alone, go one by one."""
+        if len(words) and pc.max(pc.binary_length(words)).as_py() <= STRETCH and not pc.any(pc.equal(words, END)).as_py():
+            all_of_them = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            text = " " + pc.binary_join(all_of_them, b" ")[0].as_py().decode("utf-8", "replace")
+            if len(text.split()) == len(words):
+                ids = self.encoding.encode_to_numpy(text, disallowed_special=())
+                begin = np.flatnonzero(self.first[ids])
+                if len(begin) == len(words):
+                    return ids.astype(np.uint16), np.diff(begin, append=len(ids))
+        if len(words) > 64:  # what cannot be joined is set apart by halving
+            half = len(words) // 2
+            return tuple(np.concatenate(x) for x in zip(self(words[:half]), self(words[half:])))
+        each = [[END_ID] if w == END else self.one(w) or [OTHER_ID] for w in words.to_pylist()]
+        return np.array([x for y in each for x in y], np.uint16), np.array([len(x) for x in each], np.int64)
 
-    def lead(word: bytes) -> int:
-        got = known.get(word)
-        if got is None:
-            got = next(iter(pieces(word)), OTHER_LEAD)
-            if len(known) >= HELD:
-                known.clear()
-            if len(word) <= SHORT:
-                known[word] = got
-        return got
 
-    return lead
+def lead_of(raw: bytes):
+    """A function from a word's bytes to its first subword id."""
+    pieces = pieces_of(raw)
+    return lambda word: next(iter(pieces(word)), OTHER_LEAD)
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -96,28 +111,64 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return words
 
 
+def _together(texts: list, most: int = HELD_BYTES):
+    """(start, end) of runs of texts of `most` bytes in all, or of one text."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text or b"")
+        if held and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def coded(texts: list):
+    """Of the tokens of many texts: (distinct words, number of each token's word among them, how
+    many tokens each text has). The words are an Arrow array, the last of them the end."""
+    joined = b"\n".join([t or b"" for t in texts] + [b""])
+    at = np.frombuffer(joined, np.uint8)
+    white = np.flatnonzero((at == 32) | (at - np.uint8(9) < 5))
+    length = np.diff(white, prepend=-1) - 1
+    some = np.flatnonzero(length)
+    length, white = length[some], white[some]
+    # white: the place behind each word; behind each text there is one more
+    behind = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)).cumsum()
+    last = np.searchsorted(white, behind)
+    offsets = np.zeros(len(length) + 1, np.int32)
+    np.cumsum(length, out=offsets[1:])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(joined.translate(LOWER, b"\t\n\v\f\r "))]
+    words = pa.Array.from_buffers(pa.binary(), len(length), buffers).dictionary_encode()
+    distinct = pa.concat_arrays([words.dictionary, pa.array([END], pa.binary())])
+    code = np.full(len(length) + len(texts), len(distinct) - 1, np.int32)
+    within = np.ones(len(code), bool)
+    within[last + np.arange(len(texts))] = False
+    code[within] = words.indices.to_numpy()
+    return distinct, code, np.diff(last, prepend=0) + 1
+
+
 def counts(docs: DataFrame, raw: bytes) -> DataFrame:
     """(word, c, lead) over all texts of docs(text): every token's count, and its lead id."""
 
     def count(batches):
-        held: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
-
+        keep_memory()
         for batch in batches:
-            for text in fields(batch, "text")[0]:
-                held.update(tokens_of(text))
-                if len(held) >= HELD:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+            texts = fields(batch, "text")[0]
+            for a, b in _together(texts):
+                words, code, _ = coded(texts[a:b])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(code, minlength=len(words)), pa.int64())], ["word", "c"])
 
     def led(batches):
-        lead = lead_of(raw)
+        keep_memory()
+        pieces = Pieces(raw)
         for batch in batches:
-            leads = [OTHER_LEAD if w == END else lead(w) for w in batch.column(0).to_pylist()]
+            words = batch.column(0)
+            leads = np.full(len(words), OTHER_LEAD, np.int32)
+            for at in range(0, len(words), HELD):
+                ids, n = pieces(words[at : at + HELD])
+                first = ids[n.cumsum() - n].astype(np.int32)
+                leads[at : at + HELD] = np.where(first >= OTHER_ID, OTHER_LEAD, first)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leads, pa.int32())], ["word", "c", "lead"])
 
     each = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, c long")
@@ -153,40 +204,34 @@ class Reader:
     """Turns texts into hot-word numbers and subword ids, on an executor."""
 
     def __init__(self, raw: bytes, hot: list[bytes]):
-        self.pieces = pieces_of(raw)
-        self.number = {w: i for i, w in enumerate(hot)}
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.ids_of_hot = [self.ids(w) for w in hot] + [b""]
-
-    def ids(self, word: bytes) -> bytes:
-        """All subword ids of a word, as uint16."""
-        return np.array([END_ID] if word == END else self.pieces(word) or [OTHER_ID], np.uint16).tobytes()
-
-    def cold(self, word: bytes) -> bytes:
-        """The same, remembering words in two generations of bounded size."""
-        got = self.known.get(word) or self.older.get(word) or self.ids(word)
-        if len(word) <= SHORT:
-            if len(self.known) >= HELD:
-                self.older, self.known = self.known, {}
-            self.known[word] = got
-        return got
+        self.pieces, self.words = Pieces(raw), pa.array(hot, pa.binary())
+        self.hot = self.pieces(self.words)
+        self.begin = self.hot[1].cumsum() - self.hot[1]
+
+    def many(self, texts: list):
+        """(distinct words, number of each token's word among them, hot number or -1 of each
+        token, how many tokens each text has, subword ids of all tokens, how many each token has)."""
+        words, code, n = coded(texts)
+        number = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        cold = np.flatnonzero(number < 0)
+        ids, size = self.pieces(words.take(pa.array(cold)))
+        sizes = np.append(self.hot[1], 0)[number]
+        sizes[cold] = size
+        begin = np.append(self.begin, 0)[number]
+        begin[cold] = len(self.hot[0]) + size.cumsum() - size
+        each = sizes[code]
+        behind = each.cumsum()
+        place = np.repeat(begin[code] - behind + each, each)
+        place += np.arange(len(place))
+        return words, code, number[code], n, np.concatenate([self.hot[0], ids])[place], each
 
     def __call__(self, text: bytes | None):
         """Hot number or -1 of each token, the tokens that are not hot, all subword ids, and
         at which of them a token begins."""
-        words = tokens_of(text)
-        number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        ids = [self.ids_of_hot[i] for i in number.tolist()]
-        cold = []
-        for i in np.flatnonzero(number < 0).tolist():
-            cold.append(words[i])
-            ids[i] = self.cold(words[i])
-        ends = np.fromiter(map(len, ids), np.int64, len(ids)).cumsum() // 2
-        starts = np.zeros(ends[-1], bool)
-        starts[0] = True
-        starts[ends[:-1]] = True
-        return number, cold, np.frombuffer(b"".join(ids), np.uint16), starts
+        words, code, number, _, ids, each = self.many([text])
+        starts = np.zeros(len(ids), bool)
+        starts[each.cumsum() - each] = True
+        return number, words.take(pa.array(code[number < 0])).to_pylist(), ids, starts
 
 
 @functools.lru_cache(1)
@@ -206,26 +251,39 @@ def read(docs: DataFrame, shared, key: str) -> DataFrame:
     of its hot words' log counts, and its other words with their numbers."""
 
     def run(batches):
+        keep_memory()
         reader, row = _reader(key, shared), TaskContext.get().partitionId() << 33
         log_count = np.log10(np.append(shared.value[2], 0.0) + 1)
+        names = ["doc_id", "held_out", "row", "n_tokens", "n_known", "logs", "ids", "starts", "n_ids", "rare"]
         for batch in batches:
-            doc_ids, held, texts = fields(batch, "doc_id", "held_out", "text")
-            heads, words, times, ends = [], [], [], [0]
-            for i, text in enumerate(texts):
-                number, cold, ids, starts = reader(text)
-                hot = number[number >= 0]
-                heads.append((row, len(number), len(hot), float(log_count[hot].sum()), ids.tobytes(), np.packbits(starts).tobytes(), len(ids)))
-                row += 1
-                if cold:
-                    w, k = zip(*Counter(cold).items())
-                    words += w
-                    times += k
-                ends.append(len(words))
-            columns = list(zip(*heads)) if heads else [[]] * 7
-            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int64()]
-            names = ["row", "n_tokens", "n_known", "logs", "ids", "starts", "n_ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), *(pa.array(c, t) for c, t in zip(columns, types)), rare], ["doc_id", "held_out", *names, "rare"])
+            texts = fields(batch, "text")[0]
+            for a, b in _together(texts):
+                words, code, number, n, ids, each = reader.many(texts[a:b])
+                first = n.cumsum() - n
+                n_ids = np.add.reduceat(each, first)
+                behind = np.append(0, n_ids.cumsum())
+                starts = np.zeros(len(ids), bool)
+                starts[each.cumsum() - each] = True
+                bits = [np.packbits(starts[i:j]).tobytes() for i, j in zip(behind.tolist(), behind[1:].tolist())]
+                # the other words of each text, and how often they occur in it
+                cold = np.flatnonzero(number < 0)
+                pair, times = np.unique(np.repeat(np.arange(b - a), n)[cold] * len(words) + code[cold], return_counts=True)
+                text, word = np.divmod(pair, len(words))
+                pairs = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(times, pa.int64())], ["word", "times"])
+                columns = [
+                    batch.column("doc_id").slice(a, b - a).cast(pa.int64()),
+                    batch.column("held_out").slice(a, b - a),
+                    pa.array(np.arange(row, row + b - a), pa.int64()),
+                    pa.array(n, pa.int64()),
+                    pa.array(np.add.reduceat(number >= 0, first, dtype=np.int64)),
+                    pa.array(np.add.reduceat(log_count[number], first)),
+                    pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((2 * behind).astype(np.int32)), pa.py_buffer(ids)]),
+                    pa.array(bits, pa.binary()),
+                    pa.array(n_ids, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(b - a + 1)), pa.int32()), pairs),
+                ]
+                row += b - a
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, logs double, ids binary, starts binary, n_ids long, rare array<struct<word:binary,times:long>>"
     return written(docs.mapInArrow(run, schema), "read")
@@ -267,6 +325,7 @@ def trained(texts: DataFrame, classes: Classes) -> dict[str, np.ndarray]:
         start = session.sparkContext.broadcast(attention.packed(model))
 
         def learn(batches, start=start, at=at):
+            keep_memory()
             trainer = attention.Trainer(attention.unpacked(start.value), 1000 * at + TaskContext.get().partitionId(), attention.RATE * RATES[at])
             for batch in batches:
                 for ids, starts in _texts(batch):
@@ -300,10 +359,16 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     classes = Classes([(r["lead"], r["n"], r["words"]) for r in leads], ends["c"] if ends else 0)
     n, v = int(classes.tokens.sum()), int(classes.words.sum())
     short = F.octet_length("word") <= SHORT
-    reach = known.where(short).agg(*(F.count_if(F.col("c") >= (1 << k)).alias(f"k{k}") for k in range(1, 50))).first()
-    # at most HOT words of SHORT bytes have so many tokens
-    least = next((1 << k for k in range(1, 50) if reach[f"k{k}"] <= HOT), 1 << 50)
-    is_hot = short & (F.col("c") >= least)
+    level = F.floor(F.log2("c") * LEVELS).cast("int")
+    # one row for each level: at most 64 * LEVELS
+    reach = dict(known.where(short & (F.col("c") > 1)).groupBy(level).count().collect())
+    least, words = 64 * LEVELS, 0
+    for k in sorted(reach, reverse=True):
+        words += reach[k]
+        if words > HOT:
+            break
+        least = k
+    is_hot = short & (level >= least)
     hot = sorted((bytes(r["word"]), r["c"]) for r in known.where(is_hot).select("word", "c").collect())
     shared = spark.sparkContext.broadcast((raw, [w for w, _ in hot], np.array([c for _, c in hot], float)))
     key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)}"
@@ -312,6 +377,7 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     weights = spark.sparkContext.broadcast((attention.packed(model), classes.by_id, np.log10(classes.size)))
 
     def score(batches):
+        keep_memory()
         packed, by_id, log_size = weights.value
         scorer = attention.Scorer(attention.unpacked(packed))
         for batch in batches:
